@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, pii, quality_rules, url_filter
+from . import bpe, decontaminate, license_scan, line_dedup, pii, quality_rules, url_filter
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dropped(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op9_pii, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op7_bpe, op9_pii, op10_license_scan)}
 ORACLES: dict[str, str] = {}
