@@ -8,8 +8,9 @@ which a memoised pair table answers. A bit per byte keeps a place from being tri
 so that the work is linear in the text. The result is that of applying the merges by rank.
 Decoding: token ids point into one byte string through a table of offsets.
 
-Tasks read Arrow batches; each worker loads the vocabulary once. Encodings of words are kept
-in a dictionary of at most ``KEPT_WORDS`` words, emptied when full.
+Tasks read Arrow batches; each worker loads the vocabulary once. A text whose white space
+never stands twice in a row is cut at its spaces, as the word pattern cuts there too, and
+encodings of the pieces are kept: at most twice ``KEPT_WORDS``, the older half going first.
 
 Defined cases: null text is empty; empty text has no ids; special tokens' strings in a text
 become their ids, as the library does; rows are handled one by one, so repeated rows give
@@ -31,7 +32,8 @@ from .common import text_of
 
 #: Fixed value: the byte-level tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
+KEPT_PAIRS = 500_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -81,12 +83,14 @@ class Codec:
         self.bytes = b"".join(parts)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.prefix: dict[str, str | None] = {}
-        self.kept: dict[str, tuple[str, bytes]] = {}
+        self.kept: tuple[dict, dict] = ({}, {})
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether the merges leave a border between a and b."""
         known = self.pairs.get((a, b))
         if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
             known = self.pairs[a, b] = self._border(a, b)
         return known
 
@@ -115,57 +119,86 @@ class Codec:
 
     def encode_bytes(self, word: str) -> list[int]:
         """Ids of a Latin-1 string of bytes."""
-        longest = [0] * len(word)
-        for end, size in self.automaton.iter(word):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        open_, out, at = bytearray(b"\1") * (len(word) + 1), [], 0
-        token: str | None = word[: longest[0]]
-        while at < len(word):
+        if word in self.ids:
+            return [self.ids[word]]
+        # The walk without a step back, straight from the automaton, is right if every pair of it may stand.
+        ends = [(end + 1, size) for end, size in self.automaton.iter_long(word)]
+        out = [word[end - size : end] for end, size in ends]
+        if all(self.may_follow(a, b) for a, b in zip(out, out[1:])):  # noqa: B905
+            return [self.ids[t] for t in out]
+        # Later matches of one start are longer.
+        longest = {end - size: size for end, size in self.automaton.iter(word)}
+        open_, out, at, size = bytearray(b"\1") * (len(word) + 1), [], 0, len(word)
+        prefix, pairs = self.prefix, self.pairs
+        token: str | None = word[: longest[-1]]
+        while at < size:
             if token is None:  # nothing leads on from here: step back over the last token
                 open_[at] = 0
-                last = out.pop()
-                at -= len(last)
-                token = self.shorter(last)
-            elif open_[at + len(token)] and (not out or self.may_follow(out[-1], token)):
-                out.append(token)
-                at += len(token)
-                token = word[at : at + longest[at]] if at < len(word) else None
-            else:
-                token = self.shorter(token)
+                token = out.pop()
+                at -= len(token)
+            elif open_[at + len(token)]:
+                fits = not out or pairs.get((out[-1], token))
+                if fits or fits is None and self.may_follow(out[-1], token):
+                    out.append(token)
+                    at += len(token)
+                    token = word[at : at + longest[at - 1]] if at < size else None
+                    continue
+            token = prefix[token] if token in prefix else self.shorter(token)
         return [self.ids[t] for t in out]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(self.bytes[self.offsets[i] : self.offsets[i + 1]] for i in ids)
 
-    def encoded(self, word: str) -> tuple[str, bytes]:
-        """Comma-joined ids of a word, and the bytes that they decode to."""
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        ids = self.encode_bytes(word.encode("utf-8").decode("latin-1"))
-        found = self.kept[word] = (",".join(map(str, ids)), self.decode(ids))
+    def encoded(self, word: str) -> list[int]:
+        return self.encode_bytes(word.encode("utf-8").decode("latin-1"))
+
+    def piece(self, piece: str) -> tuple[str, str] | None:
+        """Comma-joined ids of a piece with the space before it, and what they decode to after that space. None if
+        white space meets the piece's ends, so that the cut was wrong."""
+        young, old = self.kept
+        found = old.get(piece)
+        if found is None:
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                return None
+            head, *rest = self.words.findall(" " + piece)
+            known = rest and (young.get(head[1:]) or old.get(head[1:]))
+            ids = [i for w in (rest if known else (head, *rest)) for i in self.encoded(w)]
+            joined, decoded = ",".join(map(str, ids)), self.decode(ids).decode("utf-8", "replace")
+            joined, decoded = (f"{known[0]},{joined}", known[1] + decoded) if known else (joined, decoded[1:])
+            found = (joined, piece if decoded == piece else decoded)
+        if len(young) >= KEPT_WORDS:
+            self.kept = (young, _) = ({}, young)
+        young[piece] = found
         return found
 
-    def text(self, text: str) -> tuple[str, bytes]:
-        """Comma-joined ids of a text, and the bytes that they decode to."""
-        ids: list[str] = []
-        decoded: list[bytes] = []
-        at = 0
-        for m in self.specials.finditer(text) if self.specials and any(s in text for s in self.special) else ():
-            self._run(text[at : m.start()], ids, decoded)
-            i = self.special[m.group()]
-            ids.append(str(i))
-            decoded.append(self.decode([i]))
-            at = m.end()
-        self._run(text[at:] if at else text, ids, decoded)
-        return ",".join(ids), b"".join(decoded)
-
-    def _run(self, text: str, ids: list[str], decoded: list[bytes]) -> None:
-        get, make = self.kept.get, self.encoded
-        found = [get(w) or make(w) for w in self.words.findall(text)]
-        ids.extend([x[0] for x in found])
-        decoded.extend([x[1] for x in found])
+    def text(self, text: str) -> tuple[str, str]:
+        """Comma-joined ids of a text, and the text that they decode to."""
+        if self.specials and any(s in text for s in self.special):
+            ids = []
+            at = 0
+            for m in self.specials.finditer(text):
+                ids += [*self._ids(text[at : m.start()]), self.special[m.group()]]
+                at = m.end()
+            ids += self._ids(text[at:])
+            return ",".join(map(str, ids)), self.decode(ids).decode("utf-8", "replace")
+        first, *pieces = text.split(" ")
+        get, make = self.kept[0].get, self.piece
+        found = []
+        if first and not first[-1].isspace():
+            for p in pieces:
+                x = get(p) or make(p)
+                if x is None:
+                    break
+                found.append(x)
+        if len(found) < len(pieces) or not first:
+            ids = self._ids(text)
+            return ",".join(map(str, ids)), self.decode(ids).decode("utf-8", "replace")
+        ids = self._ids(first)
+        head = ",".join(map(str, ids))
+        return ",".join([head, *[x[0] for x in found]]), " ".join([self.decode(ids).decode("utf-8", "replace"), *[x[1] for x in found]])
+
+    def _ids(self, text: str) -> list[int]:
+        return [i for w in self.words.findall(text) for i in self.encoded(w)]
 
 
 @lru_cache(maxsize=2)
@@ -179,10 +212,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _text_of_bytes(data: bytes) -> str:
-    return data.decode("utf-8", "replace")
-
-
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array of int) and decoded text, a row per row of ``docs``."""
     path = path or default_path()
@@ -192,7 +221,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             pairs = [c.text(t) for t in b.column(1).to_pylist()]
             ids = [[int(i) for i in joined.split(",")] if joined else [] for joined, _ in pairs]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([_text_of_bytes(d) for _, d in pairs], pa.string())], ["doc_id", "ids", "decoded"])
+            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in pairs], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -210,7 +239,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 joined, data = c.text(t.as_py())
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids.append(digest(joined.encode()))
-                decoded.append(digest(_text_of_bytes(data).encode()))
+                decoded.append(digest(data.encode()))
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
