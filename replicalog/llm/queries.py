@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, line_dedup, pii, quality_rules, url_filter
+from . import bpe, decontaminate, license_scan, line_dedup, pii, quality_classifier, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -24,10 +24,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dropped(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -36,5 +44,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op7_bpe, op9_pii, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op5_quality_classifier, op7_bpe, op8_toxicity, op9_pii, op10_license_scan
+    )
+}
 ORACLES: dict[str, str] = {}
