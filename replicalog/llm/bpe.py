@@ -226,20 +226,26 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, a row per row of ``docs``; ids and texts stay in the task."""
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, a row per row of ``docs``; texts stay in the task, and so do ids
+    unless they are asked for."""
     path = path or default_path()
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            n, ids, decoded = [], [], []
+            n, ids, decoded, lists = [], [], [], []
             for t in b.column(1):
                 joined, data = c.text(t.as_py())
                 n.append(joined.count(",") + 1 if joined else 0)
                 ids.append(digest(joined.encode()))
                 decoded.append(digest(data.encode()))
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    lists.append([int(i) for i in joined.split(",")] if joined else [])
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.record_batch(columns + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, schema)

@@ -123,3 +123,19 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("t"))
     d = d.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return d.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted to have label 1, all columns kept."""
+    space = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = space.value
+        for b in batches:
+            for start in range(0, b.num_rows, BLOCK):
+                part = b.slice(start, BLOCK)
+                got = np.full(part.num_rows, s) if isinstance(s, float) else s.scores(np.stack([terms(t.as_py() or "") for t in part.column(at)]))
+                yield part.filter(pa.array(got >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

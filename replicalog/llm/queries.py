@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, line_dedup, pii, quality_classifier, quality_rules, toxicity, url_filter
+from . import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_classifier, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op5_quality_classifier, op7_bpe, op8_toxicity, op9_pii, op10_license_scan
+        op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op5_quality_classifier, op6_ngram_jaccard_join, op7_bpe, op8_toxicity, op9_pii, op10_license_scan
     )
 }
 ORACLES: dict[str, str] = {}
