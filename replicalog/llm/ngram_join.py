@@ -4,12 +4,15 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles (A-Z
 ``[^\x20\x09-\x0D]+``; with fewer words, the whole sequence is one). Two documents link when
 100 * intersection >= 80 * union.
 
-1. Shingles held by very many documents are found first; they are ordered last, by frequency, all
-   others by hash. Any order is exact, so the list may be bounded: it has at most ``MOST_HOT`` entries.
-2. Every document hands out its prefix: linked documents share one of their first n - ceil(0.8 n) + 1
-   shingles. Documents that share one fall into one block. Within a task each shingle's documents are
-   reduced to edges to the least of them, so that a shingle costs one row a task, however frequent.
-3. Documents with equal sets are linked to the least of them, which alone stands for them from here on.
+1. Every task hashes its documents' shingles and sends them, packed by range of hash, to where all documents'
+   shingles of the range meet. Back comes, for each document, how many of its shingles no other document holds.
+   Linked documents share one of their first n - ceil(0.8 n) + 1 shingles in any common order; taking the
+   unshared ones first, a document with that many of them is linked with nothing. Most documents end here. (Hashes
+   are cut to 48 bits for the count; a collision only keeps a document in play.)
+2. Documents with equal sets are linked to the least of them, which alone stands for them from here on.
+3. For the rest, each shingle's exact frequency among them is joined back, and each document hands out its prefix in
+   order of frequency. Documents that share a shingle of their prefixes fall into one block. Within a task each
+   shingle's documents are reduced to edges to the least of them, so that a shingle costs one row a task.
 4. Blocks are cut into slices of about ``SLICE`` shingles, and every pair of slices is a group of its own:
    no group grows with a block. In it, the T-occurrence search of ``linked`` finds the links.
 5. Components of the links are found by joins. Nothing that grows with the documents reaches the driver.
@@ -38,118 +41,170 @@ from .graph import components
 
 WORDS = 5
 PERCENT = 80
-MOST_HOT = 200_000
-#: No shingle in fewer documents counts as very frequent.
-LEAST_HOT = 50
 SLICE = 1_000_000
 #: Shingles that a task gathers before it sorts them.
 GATHER = 4_000_000
-KEPT_WORDS = 300_000
-#: Members of blocks that are broadcast at most; beyond it the texts are joined by a shuffle.
+#: Ids that are broadcast at most; beyond it the texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.05
 
 _M = np.uint64(0x9E3779B97F4A7C15)
+_NOT_SPACE = np.ones(256, bool)
+_NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of texts; word hashes are kept between texts."""
-
-    def __init__(self) -> None:
-        self.kept: dict[bytes, int] = {}
-
-    def __call__(self, data: bytes) -> np.ndarray:
-        words = data.lower().split()
-        if not words:
-            return np.zeros(0, np.int64)
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        kept = self.kept
-        get = kept.get
-        found = [get(w) for w in words]
-        if None in found:
-            for i, (w, x) in enumerate(zip(words, found, strict=True)):
-                if x is None:
-                    found[i] = kept[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array(found, dtype=np.uint64)
-        if len(h) < WORDS:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(h))], dtype=np.uint64).view(np.int64)
-        out = np.zeros(len(h) - WORDS + 1, np.uint64)
-        for k in range(WORDS):
-            out = (out ^ (out >> np.uint64(31))) * _M + h[k : len(h) - WORDS + 1 + k]
-        return np.unique(out.view(np.int64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def least_overlap(n: int) -> int:
-    """Shingles that a set of n shares at least with any set that it links with."""
-    return -(-n * PERCENT // 100)
+#: A number for each byte, and powers of an odd number for its place in the word.
+_BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * _M)
+_POWERS = np.cumprod(np.full(256, 0xD6E8FEB86659FD93, np.uint64))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[np.ndarray]]:
-    """Shingle sets of the texts, in lots of about GATHER shingles."""
-    shingles, lot, size = Shingler(), [], 0
-    for b in batches:
-        for t in b.column(column):
-            lot.append(shingles(t.as_py() or b""))
-            size += len(lot[-1])
-            if size >= GATHER:
-                yield lot
-                lot, size = [], 0
-    if lot:
-        yield lot
+def _powers(n: int) -> np.ndarray:
+    return _POWERS if n <= len(_POWERS) else np.cumprod(np.full(n, _POWERS[0], np.uint64))
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Two rows: the hashes of very frequent shingles, sorted, and their ranks by frequency. Each task counts its
-    documents' shingles and passes on those it sees thrice, so that rare ones are never shuffled."""
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of the words of a text, A-Z lower-cased."""
+    a = np.frombuffer(data.lower(), np.uint8)
+    inside = _NOT_SPACE[a]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
+    size = edges[1::2] - edges[::2]
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(size) - size
+    letters = a[inside]
+    place = np.arange(len(letters)) - np.repeat(begin, size)
+    return _mixed(np.add.reduceat(_BYTES[letters] * _powers(int(size.max()))[place], begin) + size.astype(np.uint64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lot in _gathered(batches, 0):
-            token, count = np.unique(np.concatenate(lot), return_counts=True)
-            often = count >= 3
-            total = pa.array([*token[often].tolist(), None], pa.int64())
-            yield pa.record_batch([total, pa.array([*count[often].tolist(), int(count.sum())], pa.int64())], ["token", "n"])
-
-    counts = checkpointed(docs.select(F.col("text").cast("binary")).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total = (counts.where("token IS NULL").agg(F.sum("n")).first()[0]) or 0
-    hot = counts.where("token IS NOT NULL").where(F.col("n") >= max(LEAST_HOT, math.ceil(total / MOST_HOT))).toArrow()
-    token, n = hot.column("token").to_numpy(), hot.column("n").to_numpy()
-    rank = np.empty(len(token), np.int64)
-    rank[np.lexsort((token, n))] = np.arange(len(token))
-    order = np.argsort(token)
-    return np.stack([token[order], rank[order]])
-
-
-def prefix_of(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The set's first shingles in the common order: others by hash, then frequent ones by rank."""
-    size = len(s) - least_overlap(len(s)) + 1
-    if not hot.shape[1]:
-        return s[:size]
-    at = np.minimum(np.searchsorted(hot[0], s), hot.shape[1] - 1)
-    often = hot[0][at] == s
-    out = s[~often][:size]
-    if len(out) < size:
-        out = np.concatenate([out, s[often][np.argsort(hot[1][at[often]])][: size - len(out)]])
-    return out
+
+def shingles(data: bytes) -> np.ndarray:
+    """Sorted distinct shingle hashes of a text."""
+    h = word_hashes(data)
+    if not len(h):
+        return np.zeros(0, np.int64)
+    width = min(WORDS, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(31))) * _M + h[k : len(h) - width + 1 + k]
+    return np.unique(_mixed(out).view(np.int64))
+
+
+def least_overlap(n: int) -> int:
+    """Shingles that a set of n shares at least with any set that it links with."""
+    return -(-n * PERCENT // 100)
+
+
+def unshared(docs: DataFrame, buckets: int) -> DataFrame:
+    """doc_id, n, s1 and s2 (128 bits that stand for the set), u (shingles that no other row holds), a row per row."""
+    import pyspark
+
+    shift = np.uint64(16)
+    width = -(-(1 << 48) // buckets)
+    schema = "bucket int, lot long, tokens binary, places binary, ids binary, n binary, s binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pyspark.TaskContext.get().partitionId()
+
+        def flush(lot: int):
+            token = np.concatenate(sets).view(np.uint64) >> shift
+            place = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            order = np.argsort(token, kind="stable")
+            token, place = token[order], place[order]
+            cuts = np.searchsorted(token, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
+            offset = (token - (token // np.uint64(width)) * np.uint64(width)).astype(np.uint64)
+            small = np.uint32 if width < 1 << 32 else np.uint64
+            tokens = [offset[a:b].astype(small).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            places = [place[a:b].astype(np.uint16 if len(sets) < 1 << 16 else np.uint32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+            nothing = [None] * buckets
+            one = lambda values, kind: pa.array(values, kind)
+            yield pa.record_batch([one(range(buckets), pa.int32()), one([lot] * buckets, pa.int64()), one(tokens, pa.binary()), one(places, pa.binary()), *(one(nothing, pa.binary()) for _ in range(3))], names)
+            digest = b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets)
+            known = np.array([(-1 if i is None else i, i is not None) for i in ids], dtype=np.int64)
+            yield pa.record_batch([one([lot % buckets], pa.int32()), one([lot], pa.int64()), one([None], pa.binary()), one([None], pa.binary()), one([known.tobytes()], pa.binary()), one([np.array([len(s) for s in sets], np.int64).tobytes()], pa.binary()), one([digest], pa.binary())], names)
+
+        sets, ids, size, lots = [], [], 0, 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sets.append(shingles(t.as_py() or b""))
+                ids.append(i)
+                size += len(sets[-1])
+                if size >= GATHER:
+                    yield from flush((part << 24) + lots)
+                    sets, ids, size, lots = [], [], 0, lots + 1
+        if sets:
+            yield from flush((part << 24) + lots)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, list] = {}
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                if r["tokens"] is None:
+                    yield pa.RecordBatch.from_pylist([r], b.schema)
+                else:
+                    met.setdefault(r["bucket"], []).append(r)
+        for rows in met.values():
+            token = [np.frombuffer(r["tokens"], np.uint32 if width < 1 << 32 else np.uint64) for r in rows]
+            # The lot's places are as wide as its count of documents needs.
+            place = [np.frombuffer(r["places"], np.uint16 if len(r["places"]) == 2 * len(t) else np.uint32).astype(np.int64) for r, t in zip(rows, token, strict=True)]
+            start = np.cumsum([0, *(int(p.max()) + 1 if len(p) else 0 for p in place)])
+            all_ = np.concatenate(token)
+            order = np.argsort(all_, kind="stable")
+            all_ = all_[order]
+            owner = np.concatenate([p + s for p, s in zip(place, start, strict=False)])[order]
+            edge = np.concatenate([[True], all_[1:] != all_[:-1], [True]])[: len(all_) + 1]
+            alone = edge[: len(all_)] & edge[1:]
+            counts = np.bincount(owner[alone], minlength=start[-1]).astype(np.uint32)
+            for k, r in enumerate(rows):
+                yield pa.RecordBatch.from_pylist([r | {"tokens": None, "places": counts[start[k] : start[k + 1]].tobytes()}], out_schema)
+
+    def total(t: pa.Table) -> pa.Table:
+        counts = [np.frombuffer(x.as_py(), np.uint32) for x in t.column("places") if x.is_valid]
+        at = next(k for k, x in enumerate(t.column("ids")) if x.is_valid)
+        known = np.frombuffer(t.column("ids")[at].as_py(), np.int64).reshape(-1, 2)
+        u = np.zeros(len(known), np.int64)
+        for c in counts:
+            u[: len(c)] += c
+        s = np.frombuffer(t.column("s")[at].as_py(), np.int64).reshape(-1, 2)
+        n = np.frombuffer(t.column("n")[at].as_py(), np.int64)
+        return pa.table({"doc_id": pa.array(known[:, 0], pa.int64(), mask=known[:, 1] == 0), "n": n, "s1": s[:, 0], "s2": s[:, 1], "u": u})
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    out_schema = pa.schema([("bucket", pa.int32()), ("lot", pa.int64()), *((c, pa.binary()) for c in names[2:])])
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
+    sent = d.mapInArrow(send, schema).repartition("bucket").mapInArrow(meet, schema)
+    return sent.groupBy("lot").applyInArrow(total, "doc_id long, n long, s1 long, s2 long, u long")
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """doc_id, n, s1 and s2 (128 bits that stand for the set), prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, s (the shingle set) of the documents in ``ids`` (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, hot = Shingler(), shared.value
         for b in batches:
-            sets = [shingles(t.as_py() or b"") for t in b.column(1)]
-            digests = np.array([list(divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)) for s in sets], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            heads = [prefix_of(s, hot) if len(s) else s for s in sets]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-            values = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "n", "s1", "s2", "prefix"])
+            found = [shingles(t.as_py() or b"") for t in b.column(1)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "s"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    return d.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    d = d.join(broadcast_if_small(ids, MOST_BROADCAST), F.col("doc_id") == F.col("node"), "left_semi")
+    return d.mapInArrow(run, "doc_id long, s array<long>").where(F.size("s") > 0)
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """doc_id, prefix: those of the first shingles, in order of frequency and then of hash, that are shared at all."""
+    rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("token"))
+    shared = rows.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").withColumnRenamed("token", "key")
+    met = rows.join(shared, F.col("token") == F.col("key")).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("x"))
+    # Shingles held once come first and take up places of the prefix, without being handed out.
+    size = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("x"))
+    return met.where(size > 0).select("doc_id", F.transform(F.slice("x", F.lit(1), size.cast("int")), lambda y: y["token"]).alias("prefix"))
 
 
 def _runs(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +254,7 @@ def block_edges(heads: DataFrame) -> DataFrame:
                 last, leader = kept[-1], least[-1]
                 yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    first = heads.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "prefix").mapInArrow(local, "token long, a long, b long")
+    first = heads.select("doc_id", "prefix").mapInArrow(local, "token long, a long, b long")
     first = stored(first, "shingle-heads")
     met = first.where("token IS NOT NULL").select("token", "a").repartition("token").sortWithinPartitions("token", "a").mapInArrow(across, "a long, b long")
     return first.where("token IS NULL").select("a", "b").unionByName(met)
@@ -280,28 +335,20 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
     return out
 
 
-def links(docs: DataFrame, members: DataFrame, slice_size: int = SLICE) -> DataFrame:
+def links(sets: DataFrame, members: DataFrame) -> DataFrame:
     """a, b: links inside blocks. ``members``: node, block, slices."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
-        for b in batches:
-            found = [shingles(t.as_py() or b"") for t in b.column(3)]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([s.tobytes() for s in found], pa.binary())], ["doc_id", "block", "slices", "s"])
-
     def search(t: pa.Table) -> pa.Table:
         ids = t.column("doc_id").to_numpy()
         own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        found = [np.frombuffer(x.as_py(), dtype=np.int64) for x in t.column("s")]
+        found = [x.values.to_numpy() for x in t.column("s")]
         order = sorted(range(len(ids)), key=lambda k: (-len(found[k]), ids[k]))
         side = None if i == j else (own == j)[order]
         pairs = linked([found[k] for k in order], side)
         a, b = [int(ids[order[x]]) for x, _ in pairs], [int(ids[order[y]]) for _, y in pairs]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
-    d = d.join(broadcast_if_small(members, MOST_BROADCAST), F.col("doc_id") == F.col("node")).select("doc_id", "block", "slices", "t")
-    d = d.mapInArrow(sets, "doc_id long, block long, slices int, s binary").where(F.length("s") > 0)
+    d = sets.join(members, F.col("doc_id") == F.col("node"))
     d = d.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     d = d.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     d = d.select("doc_id", "block", "own", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "s")
@@ -311,17 +358,19 @@ def links(docs: DataFrame, members: DataFrame, slice_size: int = SLICE) -> DataF
 def joined(docs: DataFrame, slice_size: int = SLICE) -> DataFrame:
     """doc_id, n_shingles, component_id, a row per row of ``docs``."""
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    heads = stored(prefixes(d, frequent(d)), "shingle-prefixes")
-    known = heads.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "s1", "s2")
-    alike = checkpointed(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    same = known.join(alike.where("copies > 1"), ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    blocks = components(block_edges(heads))
-    members = checkpointed(blocks.join(alike.select(F.col("rep").alias("node"), "n"), "node"))
-    weights = members.groupBy(F.col("root").alias("block")).agg(F.count("*").alias("docs"), F.ceil(F.sum("n") / slice_size).cast("int").alias("slices")).where("docs > 1")
-    members = checkpointed(members.join(weights, F.col("root") == F.col("block")).select("node", "block", "slices").distinct())
-    found = links(d, members).unionByName(same)
-    groups = components(found)
-    out = heads.select("doc_id", F.col("n").alias("n_shingles")).join(groups, F.col("doc_id") == F.col("node"), "left")
+    buckets = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    all_ = stored(unshared(d, buckets), "shingle-counts")
+    known = all_.where("n > 0 AND doc_id IS NOT NULL")
+    alike = checkpointed(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("u").alias("u")))
+    same = known.join(alike.where("copies > 1").drop("u"), ["s1", "s2", "n"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    open_ = checkpointed(alike.where(F.col("u") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100)).select(F.col("rep").alias("node")).distinct())
+    sets = stored(sets_of(d, open_), "shingle-sets")
+    blocks = components(block_edges(prefixes(sets)))
+    sized = blocks.join(sets.select("doc_id", F.size("s").alias("n")), F.col("node") == F.col("doc_id"))
+    weights = sized.groupBy(F.col("root").alias("block")).agg(F.ceil(F.sum("n") / slice_size).cast("int").alias("slices"))
+    members = checkpointed(blocks.join(weights, F.col("root") == F.col("block")).select("node", "block", "slices"))
+    groups = components(links(sets, members).unionByName(same))
+    out = all_.select("doc_id", F.col("n").alias("n_shingles")).join(groups, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -38,7 +38,6 @@ def test_against_brute_force(spark):
 
 
 def test_slices_and_frequent_shingles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEAST_HOT", 4)
     monkeypatch.setattr(ngram_join, "GATHER", 500)
     check(spark, corpus(2), slice_size=400)
 
