@@ -28,7 +28,7 @@ def _relative(root: str):
 def read_listing(spark: SparkSession, root: str, folder: str) -> DataFrame:
     """folder, name, type, size, modified_s, modified_ns, mode of all files and of the directories that hold them.
 
-    Contents are not read. The source tells no modes and no links.
+    Contents are not read. The source tells no modes and no links, and passes over empty files.
     """
     d = _files(spark, root).select(_relative(root).alias("name"), F.col("length").alias("size"), "modificationTime")
     micros = F.unix_micros("modificationTime")

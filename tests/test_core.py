@@ -139,7 +139,7 @@ def test_winners(spark, table):
     assert "newer" not in other and "tie" not in other and "ns" in other
     assert {x.name for x in reconcile.pending_deletions(c, "1").collect()} == {"gone"}
     up = {x.name: x.lacking for x in reconcile.pending_uploads(c, "1", spark.createDataFrame([("2",)], "peer string")).collect()}
-    assert up == {"edit": 1}
+    assert up == {"edit": 1, "gone": 1}
 
 
 def test_moves(spark, table):
@@ -293,10 +293,10 @@ def test_messages_and_listing(spark, tmp_path):
     assert rows["a"].blocks == [h.hex()] and rows["a"].version == {"11535086261826064642": 2} and rows["b"].deleted and rows["b"].is_update
     (tmp_path / "root/d/e").mkdir(parents=True)
     (tmp_path / "root/d/e/x.txt").write_bytes(b"abc")
-    (tmp_path / "root/y").write_bytes(b"")
+    (tmp_path / "root/y").write_bytes(b"1")
     seen = listing.read_listing(spark, f"{tmp_path}/root", "f")
-    assert {(r.name, r.type, r.size) for r in seen.collect()} == {("d", 1, 0), ("d/e", 1, 0), ("d/e/x.txt", 0, 3), ("y", 0, 0)}
-    assert {(r.name, bytes(r.content)) for r in listing.read_content(spark, f"{tmp_path}/root", seen).collect()} == {("d/e/x.txt", b"abc"), ("y", b"")}
+    assert {(r.name, r.type, r.size) for r in seen.collect()} == {("d", 1, 0), ("d/e", 1, 0), ("d/e/x.txt", 0, 3), ("y", 0, 1)}
+    assert {(r.name, bytes(r.content)) for r in listing.read_content(spark, f"{tmp_path}/root", seen).collect()} == {("d/e/x.txt", b"abc"), ("y", b"1")}
     big = spark.createDataFrame([("f", "x", f"file://{tmp_path}/root/d/e/x.txt", 3)], "folder string, name string, path string, size long")
     assert listing.hash_ranges(listing.block_ranges(big)).first().hash == h.hex()
 
