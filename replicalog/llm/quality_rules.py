@@ -32,7 +32,7 @@ RULES: list[tuple[str, str, float | None, float | None]] = [
     ("symbols_per_word", "n_symbols / n_words", None, 0.1),
     ("stop_words", "n_stop_words / n_words", 0.02, None),
     ("repeated_words", "n_repeat_words / n_words", None, 0.5),
-    ("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
+    ("repeated_lines", "n_dup_lines / n_lines", None, 0.5),
     ("upper_words", "n_upper_words / n_words", None, 0.4),
 ]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, line_dedup, ngram_join, pii, quality_classifier, quality_rules, toxicity, url_filter
+from . import bpe, decontaminate, license_scan, line_dedup, ngram_join, oracles, pii, quality_classifier, quality_rules, toxicity, url_filter
 from .common import table
 
 
@@ -54,4 +54,4 @@ QUERIES = {
         op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op5_quality_classifier, op6_ngram_jaccard_join, op7_bpe, op8_toxicity, op9_pii, op10_license_scan
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES
