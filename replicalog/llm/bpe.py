@@ -32,7 +32,7 @@ from .common import text_of
 
 #: Fixed value: the byte-level tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 250_000
+KEPT_WORDS = 600_000
 KEPT_PAIRS = 500_000
 
 
@@ -124,7 +124,14 @@ class Codec:
         # The walk without a step back, straight from the automaton, is right if every pair of it may stand.
         ends = [(end + 1, size) for end, size in self.automaton.iter_long(word)]
         out = [word[end - size : end] for end, size in ends]
-        if all(self.may_follow(a, b) for a, b in zip(out, out[1:])):  # noqa: B905
+        known, before = self.pairs.get, ""
+        for t in out:
+            if before:
+                fits = known((before, t))
+                if not (self.may_follow(before, t) if fits is None else fits):
+                    break
+            before = t
+        else:
             return [self.ids[t] for t in out]
         # Later matches of one start are longer.
         longest = {end - size: size for end, size in self.automaton.iter(word)}
@@ -185,12 +192,8 @@ class Codec:
         get, make = self.kept[0].get, self.piece
         found = []
         if first and not first[-1].isspace():
-            for p in pieces:
-                x = get(p) or make(p)
-                if x is None:
-                    break
-                found.append(x)
-        if len(found) < len(pieces) or not first:
+            found = [get(p) or make(p) for p in pieces]
+        if len(found) < len(pieces) or None in found or not first:
             ids = self._ids(text)
             return ",".join(map(str, ids)), self.decode(ids).decode("utf-8", "replace")
         ids = self._ids(first)
