@@ -65,8 +65,8 @@ def test_debounce_and_feed(spark, tmp_path):
             want.setdefault(us // 250_000, set()).add(p)
     assert sorted(r.paths for r in got) == sorted(sorted(v) for v in want.values())
     log = spark.createDataFrame([event(1, 1), event(2, 2, severity=0)], EVENT)
-    log.write.parquet(f"{tmp_path}/feed")
-    feed = drained(streams.event_feed(spark, f"{tmp_path}/feed", EVENT, events.Filter(min_severity=1)), "append", tmp_path, "feed")
+    log.write.parquet(f"{tmp_path}/log")
+    feed = drained(streams.event_feed(spark, f"{tmp_path}/log", EVENT, events.Filter(min_severity=1)), "append", tmp_path, "feed")
     assert [r.id for r in feed.collect()] == [1]
 
 
