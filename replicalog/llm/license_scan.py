@@ -87,7 +87,8 @@ def document_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[str, int]
     row per vocabulary word reaches the driver."""
     vocabulary = F.array(*[F.lit(w) for w in _vocabulary(templates)])
     present = F.array_intersect(vocabulary, F.split(normal(text_of()), " "))
-    rows = docs.select(F.explode(F.array_append(present, F.lit(""))).alias("w")).groupBy("w").count().collect()
+    # Outer forms here and below: from the plain ones Spark infers filters on the arrays, and makes them twice.
+    rows = docs.select(F.explode_outer(F.array_append(present, F.lit(""))).alias("w")).groupBy("w").count().collect()
     return {r["w"]: r["count"] for r in rows}
 
 
@@ -108,9 +109,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     phrases = F.array(*[F.lit(x) for x in sorted({f" {x} " for _, _, keys in templates for x in keys})])
     d = docs.select("doc_id", F.concat(F.lit(" "), normal(text_of()), F.lit(" ")).alias("s"))
     d = d.select("doc_id", F.filter(phrases, lambda p: F.contains(F.col("s"), p)).alias("keys_found"), F.when(F.size(F.filter(phrases, lambda p: F.contains(F.col("s"), p))) > 0, F.split(F.btrim("s", F.lit(" ")), " ")).alias("w"))
-    d = d.where(F.size("keys_found") > 0)
     d = d.withColumn("top", F.slice(F.array_intersect(ranked, "w"), 1, RAREST))
-    d = d.select("doc_id", "keys_found", F.size("top").alias("n_top"), F.explode(F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("top", x["w"]))).alias("x"))
+    d = d.select("doc_id", "keys_found", F.size("top").alias("n_top"), F.explode_outer(F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("top", x["w"]))).alias("x"))
+    d = d.where("x IS NOT NULL")
     hits = d.join(F.broadcast(postings), F.col("x.w") == F.col("w"))
     hits = hits.groupBy("doc_id", "template", (F.col("x.i") - F.col("place")).alias("offset")).agg(
         F.count_distinct("w").alias("n"), F.max("n_top").alias("n_top"), F.first("keys_found").alias("keys_found")

@@ -175,7 +175,8 @@ def classifier(counts: list[dict], rounds: int = 400, ridge: float = 1e-3) -> li
 
 def learned(found: DataFrame) -> dict[str, list[float]]:
     """Weights of the span classifier of each kind. The collected rows are vote patterns, at most 3^5 a kind."""
-    rows = [r.asDict() for r in found.select(F.explode("c").alias("c")).groupBy("c.kind", *[f"c.{v}" for v in VOTES]).count().orderBy("kind", *VOTES).collect()]
+    # The outer form: from the plain one Spark infers a filter on the array, and makes it twice.
+    rows = [r.asDict() for r in found.select(F.explode_outer("c").alias("c")).where("c IS NOT NULL").groupBy("c.kind", *[f"c.{v}" for v in VOTES]).count().orderBy("kind", *VOTES).collect()]
     weights = {}
     for k in KINDS:
         if mine := [r for r in rows if r["kind"] == k]:
