@@ -43,7 +43,7 @@ WORDS = 5
 PERCENT = 80
 SLICE = 1_000_000
 #: Shingles that a task gathers before it sorts them.
-GATHER = 4_000_000
+GATHER = 2_000_000
 #: Ids that are broadcast at most; beyond it the texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: DivideSkip's weight of a probe against a merge step.
