@@ -1,10 +1,12 @@
 r"""License scan by a positional index of rare words.
 
 The templates' words form a small vocabulary. One pass counts in how many files each of
-them occurs, over all files. A second pass looks up each file's licence words of highest
-IDF, joins their places with the templates' postings, groups the hits by relative position
-(place in the file minus place in the template) and keeps alignments that enough rare words
-support. A template counts only where its mandatory key phrases stand in the file.
+them occurs, over all files. A second pass looks up, for each template whose mandatory key
+phrases stand in the file, those of its words in the file that have the highest IDF, joins their
+places with the template's postings, groups the hits by relative position (place in the file
+minus place in the template) and keeps alignments that enough of these words support. Templates
+are judged apart, and words are ranked but never struck, so every template has anchors however
+many notices a file holds and however common they are.
 
 Words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing A-Z. Base labels
 are phrases whose words stand consecutively; they always stay.
@@ -43,10 +45,8 @@ TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
-#: Of a file's licence words, so many of the rarest are looked up.
+#: Of each template's words in a file, so many of the rarest are looked up.
 RAREST = 4
-#: A licence word in more than this share of the files is no anchor.
-COMMON_SHARE = 0.2
 #: An alignment stands if this share of the template's rare words that were looked for hit it.
 SUPPORT = 0.6
 
@@ -96,28 +96,30 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """One row per row of ``docs``; labels are comma-joined, distinct and sorted."""
     spark = docs.sparkSession
     frequency = document_frequencies(docs, templates)
-    n = max(frequency.pop("", 0), 1)
-    anchors = sorted((w for w in _vocabulary(templates) if frequency.get(w, 0) <= max(COMMON_SHARE * n, 1)), key=lambda w: (frequency.get(w, 0), w))
     base = _base(docs)
-    if not anchors:
+    if not templates:
         return _finished(base.withColumns({"added": F.array().cast("array<string>"), "support": F.lit(0.0)}))
-    ranked = F.array(*[F.lit(w) for w in anchors])
+    rarity = lambda w: (frequency.get(w, 0), w)
+    ranked = [F.array(*[F.lit(w) for w in sorted(set(text.split()), key=rarity)]) for _, text, _ in templates]
     postings = spark.createDataFrame(
-        [(w, k, p) for k, (_, text, _) in enumerate(templates) for p, w in enumerate(text.split()) if w in set(anchors)], "w string, template int, place int"
+        [(w, k, p, label) for k, (label, text, _) in enumerate(templates) for p, w in enumerate(text.split())], "w string, template int, place int, label string"
     )
-    needs = spark.createDataFrame([(k, label, len({w for w in text.split() if w in set(anchors)}), [f" {x} " for x in keys]) for k, (label, text, keys) in enumerate(templates)], "template int, label string, rare int, keys array<string>")
     phrases = F.array(*[F.lit(x) for x in sorted({f" {x} " for _, _, keys in templates for x in keys})])
     d = docs.select("doc_id", F.concat(F.lit(" "), normal(text_of()), F.lit(" ")).alias("s"))
     d = d.select("doc_id", F.filter(phrases, lambda p: F.contains(F.col("s"), p)).alias("keys_found"), F.when(F.size(F.filter(phrases, lambda p: F.contains(F.col("s"), p))) > 0, F.split(F.btrim("s", F.lit(" ")), " ")).alias("w"))
-    d = d.withColumn("top", F.slice(F.array_intersect(ranked, "w"), 1, RAREST))
-    d = d.select("doc_id", "keys_found", F.size("top").alias("n_top"), F.explode_outer(F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("top", x["w"]))).alias("x"))
+    d = d.withColumn("known", F.array_intersect(F.array(*[F.lit(w) for w in _vocabulary(templates)]), "w"))
+    nothing = F.array().cast("array<string>")
+    missing = lambda keys: F.array_except(F.array(*[F.lit(f" {x} ") for x in keys]).cast("array<string>"), "keys_found")
+    tops = [F.when(F.size(missing(keys)) == 0, F.slice(F.array_intersect(rank, "known"), 1, RAREST)).otherwise(nothing) for rank, (_, _, keys) in zip(ranked, templates, strict=True)]
+    d = d.select("doc_id", "w", F.array(*tops).alias("tops"))
+    d = d.select("doc_id", "w", "tops", F.array_distinct(F.flatten("tops")).alias("top"))
+    d = d.select("doc_id", "tops", F.explode_outer(F.filter(F.transform("w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("top", x["w"]))).alias("x"))
     d = d.where("x IS NOT NULL")
-    hits = d.join(F.broadcast(postings), F.col("x.w") == F.col("w"))
+    hits = d.join(F.broadcast(postings), F.col("x.w") == F.col("w")).where("array_contains(tops[template], w)")
     hits = hits.groupBy("doc_id", "template", (F.col("x.i") - F.col("place")).alias("offset")).agg(
-        F.count_distinct("w").alias("n"), F.max("n_top").alias("n_top"), F.first("keys_found").alias("keys_found")
+        F.count_distinct("w").alias("n"), F.max(F.expr("size(tops[template])")).alias("n_top"), F.first("label").alias("label")
     )
-    hits = hits.join(F.broadcast(needs), "template").withColumn("support", F.col("n") / F.least("n_top", "rare"))
-    hits = hits.where((F.col("support") >= SUPPORT) & (F.size(F.array_except("keys", "keys_found")) == 0))
+    hits = hits.withColumn("support", F.col("n") / F.col("n_top")).where(F.col("support") >= SUPPORT)
     added = hits.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("label").alias("added"), F.max("support").alias("support"))
     return _finished(base.join(added, F.col("doc_id") == F.col("id"), "left"))
 

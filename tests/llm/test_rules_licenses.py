@@ -44,6 +44,18 @@ def test_license_templates_need_their_key_phrases(spark):
     assert all(got[i].labels == "" for i, _ in filler)
 
 
+def test_license_notices_together_and_hot_notice(spark):
+    """Every pair of notices in one file; all words of one notice stand in a third of the files."""
+    notices = {label: text for label, text, _ in license_scan.TEMPLATES if label in ("mit", "bsd", "mpl", "cc-by", "apache")}
+    pairs = [(a, b) for a in notices for b in notices if a < b]
+    rows = [(i, f"intro words {notices[a]} some words between {notices[b]} the end") for i, (a, b) in enumerate(pairs)]
+    rows += [(100 + i, f"file {i} of a hot source. {notices['bsd']} and more") for i in range(40)]
+    rows += [(200 + i, f"plain words number {i} about rivers and towns of the land") for i in range(60)]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(pair) <= set(got[i].split(",")) for i, pair in enumerate(pairs)), [(pair, got[i]) for i, pair in enumerate(pairs)]
+    assert all(got[100 + i] == "bsd" for i in range(40)) and all(got[200 + i] == "" for i in range(60))
+
+
 @pytest.mark.parametrize("op", [quality_rules.score, license_scan.scan])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
