@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import content, vectors
 from ..functions.paths import is_reserved
 from ..functions.rules import with_rules
+from ..sources.listing import block_ranges, hash_ranges
 
 
 def scan_diff(listing: DataFrame, catalog: DataFrame, rules: DataFrame | None = None, incomplete: DataFrame | None = None) -> DataFrame:
@@ -46,13 +47,22 @@ def scan_diff(listing: DataFrame, catalog: DataFrame, rules: DataFrame | None =
 def hashed(changes: DataFrame, contents: DataFrame) -> DataFrame:
     """Adds block_size and blocks to added and modified files; one that is gone by now is no change any more.
 
-    ``contents``: folder, name, content. Only files that need it are read, as the join decides which.
+    ``contents``: folder, name, content, and path where the content is null because the file is too large for one
+    value: such files are hashed block by block. Only files that need it are read, as the join decides which.
     """
     needs = changes.where("kind IN ('added', 'modified') AND now.type = 0")
     rest = changes.where("NOT (kind IN ('added', 'modified') AND now.type = 0)").withColumns({"block_size": F.lit(0), "blocks": F.array().cast("array<string>")})
     size = content.block_size("now.size")
-    done = needs.join(contents.select("folder", "name", "content"), ["folder", "name"]).withColumns({"block_size": size, "blocks": content.block_hashes("content", size)}).drop("content")
-    return rest.unionByName(done)
+    done = needs.join(contents.where("content IS NOT NULL").select("folder", "name", "content"), ["folder", "name"])
+    done = rest.unionByName(done.withColumns({"block_size": size, "blocks": content.block_hashes("content", size)}).drop("content"))
+    if "path" not in contents.columns:
+        return done
+    large = needs.join(contents.where("content IS NULL AND path IS NOT NULL").select("folder", "name", "path"), ["folder", "name"])
+    # Dealt out by block, so that one file is hashed by many tasks.
+    ranges = block_ranges(large.select("folder", "name", "path", F.col("now.size").alias("size"))).repartition("folder", "name", "idx")
+    blocks = hash_ranges(ranges).groupBy("folder", "name").agg(F.array_sort(F.collect_list(F.struct("idx", "hash"))).alias("x"))
+    blocks = blocks.where(~F.exists("x", lambda b: b["hash"].isNull())).select("folder", "name", F.transform("x", lambda b: b["hash"]).alias("blocks"))
+    return done.unionByName(needs.join(blocks, ["folder", "name"]).withColumn("block_size", size))
 
 
 def apply_local_changes(catalog: DataFrame, changes: DataFrame, device: str) -> DataFrame:

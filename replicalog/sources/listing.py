@@ -39,18 +39,24 @@ def read_listing(spark: SparkSession, root: str, folder: str) -> DataFrame:
 
 
 def read_content(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
-    """folder, name, content of the listed files; one that is gone is left out. Only their contents are decoded."""
+    """folder, name, content, path of the listed files; one that is gone is left out. Only their contents are decoded.
+
+    Files beyond MOST_BYTES have a null content and a path, by which ``hash_ranges`` reads them; others have no path.
+    """
     wanted = listing.where("type = 0").select("folder", "name")
-    d = _files(spark, root).where(F.col("length") <= MOST_BYTES).select(_relative(root).alias("name"), "content")
-    return d.join(wanted, "name").select("folder", "name", "content")
+    small = _files(spark, root).where(F.col("length") <= MOST_BYTES).select(_relative(root).alias("name"), "content", F.lit(None).cast("string").alias("path"))
+    large = _files(spark, root).where(F.col("length") > MOST_BYTES).select(_relative(root).alias("name"), F.lit(None).cast("binary").alias("content"), "path")
+    return small.unionByName(large).join(wanted, "name").select("folder", "name", "content", "path")
 
 
 def hash_ranges(ranges: DataFrame) -> DataFrame:
-    """``ranges``: folder, name, path, idx, offset, size, of files too large for one value. Adds hash.
+    """``ranges``: folder, name, path, idx, offset, size, of files too large for one value. Adds hash; null if the file is gone.
 
-    Each row is read on its own, through the file system that pyarrow finds for the path.
+    Each row is read on its own, through the file system that pyarrow finds for the path as Spark's listing
+    gives it; a store that pyarrow does not know is an error.
     """
     import hashlib
+    from urllib.parse import quote
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -58,11 +64,17 @@ def hash_ranges(ranges: DataFrame) -> DataFrame:
         for b in batches:
             hashes = []
             for path, offset, size in zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                store, at = fs.FileSystem.from_uri(path)
-                with store.open_input_file(at) as f:
-                    f.seek(offset)
-                    hashes.append(hashlib.sha256(f.read(size)).hexdigest())
-            yield pa.record_batch([*b.columns, pa.array(hashes)], [*b.schema.names, "hash"])
+                if path.startswith("file:"):
+                    store, at = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+                else:
+                    store, at = fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe="/:@"))
+                try:
+                    with store.open_input_file(at) as f:
+                        f.seek(offset)
+                        hashes.append(hashlib.sha256(f.read(size)).hexdigest())
+                except FileNotFoundError:
+                    hashes.append(None)
+            yield pa.record_batch([*b.columns, pa.array(hashes, pa.string())], [*b.schema.names, "hash"])
 
     d = ranges.select("folder", "name", "path", F.col("idx").cast("int").alias("idx"), F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"))
     return d.mapInArrow(run, "folder string, name string, path string, idx int, offset long, size long, hash string")

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -301,6 +302,22 @@ def test_messages_and_listing(spark, tmp_path):
     assert listing.hash_ranges(listing.block_ranges(big)).first().hash == h.hex()
 
 
+def test_scan_hashes_files_too_large_for_one_value(spark, tmp_path, monkeypatch):
+    data = random.Random(3).randbytes(300_000)
+    (tmp_path / "root/a b").mkdir(parents=True)
+    (tmp_path / "root/a b/big 100%.bin").write_bytes(data)
+    (tmp_path / "root/small").write_bytes(b"abc")
+    monkeypatch.setattr(listing, "MOST_BYTES", 1000)
+    seen = listing.read_listing(spark, f"{tmp_path}/root", "f")
+    contents = listing.read_content(spark, f"{tmp_path}/root", seen)
+    nothing = spark.createDataFrame([], CATALOG)
+    got = {r.name: r for r in diff.rebuild_catalog(seen, contents, None, "1", nothing).collect()}
+    step = 128 << 10
+    assert set(got) == {"a b", "a b/big 100%.bin", "small"}
+    assert got["a b/big 100%.bin"].blocks == [hashlib.sha256(data[i : i + step]).hexdigest() for i in range(0, len(data), step)]
+    assert got["a b/big 100%.bin"].block_size == step and got["small"].blocks == [hashlib.sha256(b"abc").hexdigest()]
+
+
 def test_declarations(spark):
     f = spark.createDataFrame([("n", "a", "A", "/mnt/user/a", "newest", "simple"), ("n", "a", "", "rel", "odd", "odd"), ("n", "c", "C", "/etc", None, None)], "node string, id string, name string, path string, conflict string, versioning string")
     p = spark.createDataFrame([("n", "p", "P", ["h:1"], "ab" * 32), ("n", "q", "Q", [], "xyz"), ("n", "r", "R", [" "], None)], "node string, id string, name string, addresses array<string>, fingerprint string")
