@@ -8,9 +8,10 @@ URLs. Labelled URLs are those that a rule decides, and hosts that hold a seed wo
 models read the host without its last two labels, and the path: what the rules themselves
 decide on is left out.
 
-Everything is a join or an aggregate. Grams are counted with map-side combining; the gram
-inventory is pruned by a count threshold to at most ``MAX_GRAMS`` grams, and their contexts to those
-grams' starts, the only data that are always broadcast; distinct windows are scored once, whatever number of URLs share them.
+Everything is a join or an aggregate. Grams are counted with map-side combining; every gram and
+context that occurs stays in the inventory, at every size. Distinct windows are scored once, whatever
+number of URLs share them. Grams of one length are broadcast up to a counted bound and joined by a
+shuffle beyond it, with the same result.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and
 score 0 (allow, as the cut is then at or below it, or block if calibration puts it above);
@@ -33,6 +34,7 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SEEDS = ("spam", "pills", "casino", "porn", "viagra", "warez")
 #: Contexts of up to so many characters.
 ORDER = 4
+#: Grams of one length that are broadcast at most; beyond it they are joined by a shuffle.
 MAX_GRAMS = 400_000
 #: Windows that are broadcast at most; beyond it they are joined by a shuffle.
 MAX_WINDOWS = 2_000_000
@@ -72,18 +74,9 @@ def train(labelled: DataFrame) -> DataFrame | None:
         c = c.groupBy("gram").agg(F.sum(F.col("label") * F.col("n")).alias("a"), F.sum((1 - F.col("label")) * F.col("n")).alias("r")).withColumn("size", F.lit(size))
         counts = c if counts is None else counts.unionByName(c)
     counts = checkpointed(counts)
-    # The least count at which the inventory stays within its bound; one row for each power of two.
-    steps = {r["p"]: r["count"] for r in counts.groupBy(F.floor(F.log2(F.col("a") + F.col("r"))).alias("p")).count().collect()}
-    least, kept = max(steps, default=0) + 1, 0
-    for p in sorted(steps, reverse=True):
-        if kept + steps[p] > MAX_GRAMS:
-            break
-        least, kept = p, kept + steps[p]
     contexts = counts.groupBy(F.expr("left(gram, size - 1)").alias("ctx"), (F.col("size") - 1).alias("csize")).agg(
         F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")
     )
-    counts = counts.where(F.col("a") + F.col("r") >= 2**least)
-    contexts = contexts.join(counts.select(F.expr("left(gram, size - 1)").alias("k"), (F.col("size") - 1).alias("ksize")).distinct(), F.expr("ctx = k AND csize = ksize"), "left_semi")
     g = counts.join(contexts, (F.expr("left(gram, size - 1)") == F.col("ctx")) & (F.col("size") - 1 == F.col("csize")))
     g = checkpointed(g.select("gram", "size", "a", "r", "na", "nr", "ta", "tr"))
     smooth = lambda n, total, kinds, lower: F.when(total > 0, (n + kinds * lower) / (total + kinds)).otherwise(lower)
@@ -111,11 +104,14 @@ def _scored(texts: DataFrame, model: DataFrame) -> DataFrame:
     inventory that ends it gives its log-ratio, each longer context that is known adds its fall-back weight."""
     places = texts.select("m", F.explode_outer(_grams(F.col("m"), ORDER + 1)).alias("window"))
     w = places.select("window").distinct()
+    sizes = {r["size"]: r["count"] for r in model.groupBy("size").count().collect()}
     for size in range(1, ORDER + 2):
-        k = F.broadcast(model.where(F.col("size") == size).select(F.col("gram").alias("g"), F.col("d").alias(f"d{size}")))
+        k = model.where((F.col("size") == size) & F.col("d").isNotNull()).select(F.col("gram").alias("g"), F.col("d").alias(f"d{size}"))
+        k = F.broadcast(k) if sizes.get(size, 0) <= MAX_GRAMS else k
         w = w.join(k, F.expr(f"right(window, {size})") == F.col("g"), "left").drop("g")
     for size in range(ORDER + 1):
-        k = F.broadcast(model.where((F.col("size") == size) & (F.col("e") != 0)).select(F.col("gram").alias("g"), F.col("e").alias(f"e{size}")))
+        k = model.where((F.col("size") == size) & (F.col("e") != 0)).select(F.col("gram").alias("g"), F.col("e").alias(f"e{size}"))
+        k = F.broadcast(k) if sizes.get(size, 0) <= MAX_GRAMS else k
         w = w.join(k, F.expr(f"substring(window, {ORDER + 1 - size}, {size})") == F.col("g"), "left").drop("g")
     ratio = F.lit(0.0)
     for size in range(1, ORDER + 2):

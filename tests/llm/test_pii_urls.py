@@ -78,3 +78,20 @@ def test_url_scores_against_brute_force(spark):
         want = sum(math.log(prob(1, s[p - order : p + 1])) - math.log(prob(0, s[p - order : p + 1])) for p in range(order, order + len(t) + 1)) / (len(t) + 1)
         got = url_filter._scored(spark.createDataFrame([(t,)], "m string"), model).first().score
         assert abs(got - want) < 1e-9, t
+
+
+def test_url_models_keep_every_gram(spark, monkeypatch):
+    """With a bound far below the inventory the models and scores stay as they are."""
+    draw = random.Random(8)
+    texts = [("".join(draw.choices("abcde/", k=12)), i % 2, 1 + i % 3) for i in range(40)]
+    labelled, asked = spark.createDataFrame(texts, "m string, label int, n long"), spark.createDataFrame([(t,) for t, _, _ in texts], "m string").distinct()
+
+    def scored():
+        model = url_filter.train(labelled)
+        return model.where("d IS NOT NULL").select("gram").distinct().count(), {r.m: round(r.score, 9) for r in url_filter._scored(asked, model).collect()}
+
+    padded = ["^" * url_filter.ORDER + t + "$" for t, _, _ in texts]
+    grams = {s[p - k : p + 1] for s in padded for p in range(url_filter.ORDER, len(s)) for k in range(url_filter.ORDER + 1)}
+    free = scored()
+    monkeypatch.setattr(url_filter, "MAX_GRAMS", 10)
+    assert free[0] == len(grams) and scored() == free
