@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.paths import CONFLICT, is_conflict_copy
+from ..storage import checkpointed
 
 KEY = ["folder", "replica", "name"]
-TYPES = F.array  # labels by type: see type_label
 
 
 def type_label(column: str = "type"):
@@ -43,17 +43,18 @@ def numbered(updates: DataFrame, last: DataFrame) -> DataFrame:
     """Gives rows without a sequence the next numbers of their (folder, replica), in order of name.
 
     ``last``: folder, replica, max_sequence. Numbers come from counts of ranges of names and places inside them,
-    so that no partition holds a whole folder.
+    so that no partition holds a whole folder. The ranges are drawn from a sample, and another run may draw others:
+    they are checkpointed with their numbers, so that counts and places speak of the same ranges.
     """
-    parts = updates.repartitionByRange("folder", "replica", "name").withColumn("part", F.spark_partition_id())
-    inside = W.partitionBy("part", "folder", "replica").orderBy("name")
-    parts = parts.withColumn("place", F.row_number().over(inside))
-    sizes = parts.groupBy("part", "folder", "replica").agg(F.count("*").alias("rows"))
-    before = W.partitionBy("folder", "replica").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("part", "folder", "replica", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-    d = parts.join(starts, ["part", "folder", "replica"]).join(last, ["folder", "replica"], "left")
-    given = F.coalesce("max_sequence", F.lit(0)) + F.col("start") + F.col("place")
-    return d.withColumn("sequence", F.coalesce(F.col("sequence"), given)).select(updates.columns)
+    parts = checkpointed(updates.where("sequence IS NULL").repartitionByRange("folder", "replica", "name").withColumn("__part", F.spark_partition_id()))
+    inside = W.partitionBy("__part", "folder", "replica").orderBy("name")
+    places = parts.withColumn("__place", F.row_number().over(inside))
+    sizes = parts.groupBy("__part", "folder", "replica").agg(F.count("*").alias("rows"))
+    before = W.partitionBy("folder", "replica").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("__part", "folder", "replica", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__start"))
+    d = places.join(starts, ["__part", "folder", "replica"]).join(last.withColumnRenamed("max_sequence", "__last"), ["folder", "replica"], "left")
+    given = d.withColumn("sequence", F.coalesce("__last", F.lit(0)) + F.col("__start") + F.col("__place"))
+    return updates.where("sequence IS NOT NULL").unionByName(given.select(updates.columns))
 
 
 def put(catalog: DataFrame, updates: DataFrame) -> DataFrame:

@@ -193,6 +193,27 @@ def test_catalog_writes(spark, table, tmp_path):
     assert catalog.get_marker(catalog.set_marker(m, m.withColumn("max_seq", F.lit(9).cast("long"))), "f", "2").first().max_seq == 9
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_sequences_of_many_rows(spark, adaptive):
+    """More rows than Spark samples for its ranges: none is lost, and each gets a number of its own."""
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        d = spark.range(500_000).select(
+            F.when(F.col("id") % 3 == 0, "f").otherwise("g").alias("folder"), F.lit("1").alias("replica"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.lit(None).cast("long").alias("sequence")
+        )
+        last = spark.createDataFrame([("f", "1", 10)], "folder string, replica string, max_sequence long")
+        got = catalog.numbered(d.repartition(7), last)
+        w = got.groupBy("folder").agg(F.count("*").alias("n"), F.count_distinct("sequence").alias("k"), F.min("sequence").alias("a"), F.max("sequence").alias("b")).orderBy("folder").collect()
+        assert [tuple(r) for r in w] == [("f", 166_667, 166_667, 11, 166_677), ("g", 333_333, 333_333, 1, 333_333)]
+        from pyspark.sql.window import Window
+
+        before = F.lag("name").over(Window.partitionBy("folder", F.floor(F.col("sequence") / 1000)).orderBy("sequence"))
+        assert got.withColumn("before", before).where("before >= name").count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 EVENT = "id long, ts_s long, folder string, path string, category string, severity int, reason string, resolution int, ack_by string, ack_ts long, linked string, peer_id string"
 
 
