@@ -10,7 +10,9 @@ Decoding: token ids point into one byte string through a table of offsets.
 
 Tasks read Arrow batches; each worker loads the vocabulary once. A text whose white space
 never stands twice in a row is cut at its spaces, as the word pattern cuts there too, and
-encodings of the pieces are kept: at most twice ``KEPT_WORDS``, the older half going first.
+encodings of the pieces are kept: at most twice ``KEPT_WORDS``, the older half going first. A piece that decodes to
+itself is kept with its ids alone, so that a worker's pieces and pairs stay
+below about 50 MB; between tasks it keeps one half of the pieces.
 
 Defined cases: null text is empty; empty text has no ids; special tokens' strings in a text
 become their ids, as the library does; rows are handled one by one, so repeated rows give
@@ -32,8 +34,8 @@ from .common import text_of
 
 #: Fixed value: the byte-level tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 600_000
-KEPT_PAIRS = 500_000
+KEPT_WORDS = 80_000
+KEPT_PAIRS = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -159,9 +161,9 @@ class Codec:
     def encoded(self, word: str) -> list[int]:
         return self.encode_bytes(word.encode("utf-8").decode("latin-1"))
 
-    def piece(self, piece: str) -> tuple[str, str] | None:
-        """Comma-joined ids of a piece with the space before it, and what they decode to after that space. None if
-        white space meets the piece's ends, so that the cut was wrong."""
+    def piece(self, piece: str) -> str | tuple[str, str] | None:
+        """Comma-joined ids of a piece with the space before it, with what they decode to after that space where
+        that is not the piece. None if white space meets the piece's ends, so that the cut was wrong."""
         young, old = self.kept
         found = old.get(piece)
         if found is None:
@@ -171,8 +173,12 @@ class Codec:
             known = rest and (young.get(head[1:]) or old.get(head[1:]))
             ids = [i for w in (rest if known else (head, *rest)) for i in self.encoded(w)]
             joined, decoded = ",".join(map(str, ids)), self.decode(ids).decode("utf-8", "replace")
-            joined, decoded = (f"{known[0]},{joined}", known[1] + decoded) if known else (joined, decoded[1:])
-            found = (joined, piece if decoded == piece else decoded)
+            if known:
+                before, same = known if isinstance(known, tuple) else (known, head[1:])
+                joined, decoded = f"{before},{joined}", same + decoded
+            else:
+                decoded = decoded[1:]
+            found = joined if decoded == piece else (joined, decoded)
         if len(young) >= KEPT_WORDS:
             self.kept = (young, _) = ({}, young)
         young[piece] = found
@@ -197,8 +203,19 @@ class Codec:
             ids = self._ids(text)
             return ",".join(map(str, ids)), self.decode(ids).decode("utf-8", "replace")
         ids = self._ids(first)
-        head = ",".join(map(str, ids))
-        return ",".join([head, *[x[0] for x in found]]), " ".join([self.decode(ids).decode("utf-8", "replace"), *[x[1] for x in found]])
+        parts, decoded = [",".join(map(str, ids))], [self.decode(ids).decode("utf-8", "replace")]
+        for p, x in zip(pieces, found, strict=True):
+            if isinstance(x, tuple):
+                parts.append(x[0])
+                decoded.append(x[1])
+            else:
+                parts.append(x)
+                decoded.append(p)
+        return ",".join(parts), " ".join(decoded)
+
+    def rest(self) -> None:
+        """At the end of a task: the larger half stays for the next one."""
+        self.kept = ({}, max(self.kept, key=len))
 
     def _ids(self, text: str) -> list[int]:
         return [i for w in self.words.findall(text) for i in self.encoded(w)]
@@ -225,6 +242,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             pairs = [c.text(t) for t in b.column(1).to_pylist()]
             ids = [[int(i) for i in joined.split(",")] if joined else [] for joined, _ in pairs]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in pairs], pa.string())], ["doc_id", "ids", "decoded"])
+        c.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -248,6 +266,7 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
                     lists.append([int(i) for i in joined.split(",")] if joined else [])
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.record_batch(columns + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names)
+        c.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]

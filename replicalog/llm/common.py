@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed, released_after, stored
+
+__all__ = ["broadcast_if_small", "checkpointed", "released_after", "stored", "table", "text_of", "words_of"]
+
 #: White space that separates words, as a Java character class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
@@ -28,30 +29,6 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: the cluster's setting, or one of our own where there is none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.gettempdir()}/replicalog-shared"
-    return where
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes the frame as Parquet into the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     """Hints a broadcast where the counted rows stay within ``limit``; beyond it Spark shuffles."""
     few = df.limit(limit + 1).count() <= limit

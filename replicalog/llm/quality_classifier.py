@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released_after, text_of
 from .labelled import held_out, sample
 
 PER_CLASS = 1500
@@ -110,7 +110,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Space | float:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, a row per row of ``docs``."""
-    space = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    space = released_after(docs.sparkSession.sparkContext.broadcast(fitted(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = space.value
@@ -127,7 +127,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are predicted to have label 1, all columns kept."""
-    space = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    space = released_after(docs.sparkSession.sparkContext.broadcast(fitted(docs, labels)))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released_after, text_of
 from .labelled import held_out, sample
 
 PER_CLASS = 2000
@@ -247,7 +247,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Chain | None:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans (start:end of offending words), a row per row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    model = released_after(docs.sparkSession.sparkContext.broadcast(fitted(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
