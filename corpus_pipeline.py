@@ -1,51 +1,10 @@
-"""From raw documents to token ids: five stages, each on what the one before it kept.
-
-Every stage but the last returns the columns of ``documents``. Between stages the rows are written as Parquet to the
-shared folder and read again, so that a lost executor costs at most one stage's work.
-"""
+"""From raw documents to token ids: the stages of ``replicalog.llm.stages``, under the names the driver asks for."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from replicalog.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier
-from replicalog.llm.common import stored, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go from all documents but the first; n_chars follows the text."""
-    return line_dedup.clean(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays, the one of the least doc_id."""
-    return ngram_join.first_of_groups(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of the ids and of the text that they decode to."""
-    return bpe.digests(docs, with_ids=True)
-
-
-STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("encoding", encoding)]
+from replicalog.llm.stages import STAGES, run
 
 #: The stages learn, cluster and encode; no SQL states their rows. Tests hold them against brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
