@@ -59,3 +59,47 @@ def test_license_notices_together_and_hot_notice(spark):
 @pytest.mark.parametrize("op", [quality_rules.score, license_scan.scan])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_labels_against_brute_force(spark):
+    """Notices cut, edited, repeated, mixed; rows that share a doc_id; one label in two fifths of the files."""
+    import random
+    import re
+    from collections import Counter
+
+    draw = random.Random(21)
+    word = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+    texts = []
+    for i in range(120):
+        parts = []
+        for _ in range(draw.randint(0, 3)):
+            w = (license_scan.TEMPLATES[9] if i % 5 < 2 else draw.choice(license_scan.TEMPLATES))[1].split()
+            w = w[: draw.randint(len(w) // 2, len(w))]
+            if draw.random() < 0.4:
+                w[draw.randrange(len(w))] = "other"
+            parts.append(" ".join(w))
+        texts.append(" river stone\n".join(["Some words", *parts, "and the rest"]))
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, texts[0])]
+    files = [word(t) for _, t in rows]
+    frequency = Counter(w for f in files for w in set(f))
+
+    def labels(f):
+        got = {x for x in license_base_labels(f) if x}
+        for label, text, keys in license_scan.TEMPLATES:
+            template = word(text)
+            if not all(f" {k} " in f" {' '.join(f)} " for k in keys):
+                continue
+            top = sorted(set(template) & set(f), key=lambda w: (frequency[w], w))[: license_scan.RAREST]
+            at = Counter()
+            for offset, _ in {(i - p, w) for i, w in enumerate(f) if w in top for p, x in enumerate(template) if x == w}:
+                at[offset] += 1
+            if at and max(at.values()) >= license_scan.SUPPORT * len(top):
+                got.add(label)
+        return ",".join(sorted(got))
+
+    def license_base_labels(f):
+        return [v for k, v in license_scan.PHRASES.items() if f" {k} " in f" {' '.join(f)} "]
+
+    want = Counter((i, labels(f)) for (i, _), f in zip(rows, files, strict=True))
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.labels) for r in got) == want and len({x for _, x in want}) > 8
