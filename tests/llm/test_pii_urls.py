@@ -27,6 +27,44 @@ def test_pii_adds_written_out_addresses(spark):
     assert got[102].spans == "" and got[3].n_added == 0
 
 
+def test_pii_secrets_and_accounts(spark):
+    """Recall and precision on planted secrets and account numbers, beside hashes and names that are neither."""
+    draw = random.Random(17)
+    hex_ = lambda n: "".join(draw.choices("0123456789abcdef", k=n))
+    rows = []
+    for i in range(60):
+        rows.append((i, f"some words\n{draw.choice(['token', 'api_key', 'secret', 'auth_token'])} = \"{hex_(draw.choice([32, 40]))}\" more words {i}"))
+        rows.append((100 + i, f"Bank account DE89 3704 0044 0532 0130 00 of customer {i}, or GB82WEST12345698765432"))
+        rows.append((200 + i, f"version{i} of module_name_{i}_for_testing_2024 in src/lib/part{i}/file and averyverylongword{i}"))
+        rows.append((300 + i, f"nothing here but {i} plain words about rivers"))
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum("secret:" in got[i].spans for i in range(60)) >= 54 and sum(got[100 + i].spans.count("iban:") == 2 for i in range(60)) >= 54
+    assert sum(got[200 + i].found for i in range(60)) <= 3 and not any(got[300 + i].found for i in range(60))
+
+
+def test_pii_reliabilities():
+    """Labelers of known reliability: posteriors follow Bayes' rule with about those."""
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    truth = draw.random(20_000) < 0.3
+    right = np.array([0.95, 0.9, 0.8, 0.7])
+    votes = np.where((draw.random((20_000, 4)) < right) == truth[:, None], 1, -1)
+    known, which, count = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
+    p = pii.reliabilities(known, count.astype(float))
+    odds = np.log(0.3 / 0.7) + (known * np.log(right / (1 - right))).sum(axis=1)
+    assert np.abs(p - 1 / (1 + np.exp(-odds)))[count > 20].max() < 0.15
+    assert ((p[which.ravel()] > 0.5) == truth).mean() > 0.94
+
+
+def test_pii_many_matches(spark):
+    """More matches than are summed up in one go."""
+    text = "é a@b.c " * 1000 + "1.2.3.4 " * 600
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    counts, digest, joined = brute.pii_base(text)
+    assert [r.n_email, r.n_ip] == counts[:2] == [1000, 600] and r.base_sha256 == digest and r.spans == joined
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.Example.NET/en/1?q#f", "http://x.net", "http://x.net/a", "ftp://example.com/de/x", "http://q.org/fr/9", "http://notexample.net/en/", "x://y://z/p"]
     rows = [(i, u, "h") for i, u in enumerate(urls)] * 2
