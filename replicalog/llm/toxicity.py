@@ -8,9 +8,10 @@ conditional likelihood. Forward-backward marginals over each sentence of a whole
 offending tokens with their places; a logistic fit on a part of the sample kept back for it turns the
 largest marginals and the expected number of toxic tokens into a document's score.
 
-A sentence in which no word's weight exceeds ``quiet`` can hold no marginal above ``FLOOR``: the chain's
-states attract each other, so a chain of that constant weight bounds it. Such sentences are passed over
-with marginals of 0.
+A sentence ends with a full stop, ! or ?, and after ``LONGEST`` words at the latest, in training as in scoring; so
+memory is bounded however long a text runs on. Where the fitted states attract each other, a sentence in which no
+word's weight exceeds ``quiet`` can hold no marginal above ``FLOOR``, as a chain of that constant weight bounds it. Such
+sentences are passed over with marginals of 0.
 
 The sample is bounded in rows and text, the model in features; both are broadcast. Documents pass through
 one Arrow map: no shuffle. Word weights are kept in a dictionary of at most ``KEPT_WORDS`` words.
@@ -39,9 +40,9 @@ MOST_CHARS = 20_000
 #: A feature marks tokens if toxic documents hold it so many times as often as others, and if it stands in toxic documents
 #: between so many pairs of neighbours that, of all features, less than exp(-SURE) should do so by chance.
 LEAST_PLACES, RATIO, SURE = 5, 10.0, 4.0
-#: Training sentences of each kind at most, and their longest.
-SENTENCES, LONGEST = 12_000, 60
-ROUNDS = 60
+#: Training sentences of each kind at most, chosen by even steps; words of a sentence, and padded words handled at once.
+SENTENCES, LONGEST, AT_ONCE = 12_000, 60, 1_000_000
+ROUNDS, PENALTY = 60, 0.05
 FLOOR = 0.01
 KEPT_WORDS = 300_000
 EDGE = "\"'`.,;:!?()[]{}<>*#$%&|_~-+=/\\"
@@ -54,62 +55,67 @@ def features(word: str) -> list[str]:
 
 
 def sentences(words: list[str]) -> list[tuple[int, int]]:
-    """First and past-last places; a word that ends with a full stop, ! or ? closes a sentence."""
-    ends = [i + 1 for i, w in enumerate(words) if w.endswith(ENDS)]
-    if not ends or ends[-1] < len(words):
-        ends.append(len(words))
-    return list(zip([0, *ends[:-1]], ends, strict=True))
-
-
-def marginals(weights: list[np.ndarray], t: np.ndarray) -> list[np.ndarray]:
-    """P(toxic) of every token of every sentence. ``weights``: log-odds of its tokens; ``t``: log-weights of moves
-    between the states. Sentences of all lengths go side by side, longest first."""
-    order = sorted(range(len(weights)), key=lambda i: -len(weights[i]))
-    sizes = np.array([len(weights[i]) for i in order])
-    if not len(sizes) or not sizes[0]:
-        return [np.zeros(0) for _ in weights]
-    e = np.zeros((sizes[0], len(order)))
-    for k, i in enumerate(order):
-        e[: sizes[k], k] = weights[i]
+    """First and past-last places; a word that ends with a full stop, ! or ? closes a sentence, and so does the
+    LONGEST-th."""
+    out, a = [], 0
+    for i, w in enumerate(words, 1):
+        if w.endswith(ENDS) or i - a == LONGEST:
+            out.append((a, i))
+            a = i
+    return out if a == len(words) else [*out, (a, len(words))]
+
+
+def expectations(weights: list[np.ndarray], t: np.ndarray, moves: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """P(toxic) of every token of every sentence, and the expected number of each move if asked for. ``weights``:
+    log-odds of its tokens; ``t``: log-weights of moves between the states. Sentences of like length go side by side."""
+    out, total = [np.zeros(0)] * len(weights), np.zeros((2, 2))
+    order = sorted((i for i in range(len(weights)) if len(weights[i])), key=lambda i: -len(weights[i]))
+    while order:
+        n = max(1, AT_ONCE // len(weights[order[0]]))
+        part, order = order[:n], order[n:]
+        found, seen = _side_by_side([weights[i] for i in part], t, moves)
+        total += seen
+        for i, p in zip(part, found, strict=True):
+            out[i] = p
+    return out, total
+
+
+def _side_by_side(weights: list[np.ndarray], t: np.ndarray, moves: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """The same of sentences in falling order of length."""
+    sizes = np.array([len(w) for w in weights])
+    e = np.zeros((sizes[0], len(weights)))
+    for k, w in enumerate(weights):
+        e[: sizes[k], k] = w
     alive = [int(np.searchsorted(-sizes, -s, side="left")) for s in range(sizes[0])]  # sentences longer than s
     # Messages as the log-odds of state 1: enough with two states.
     step = lambda x: np.logaddexp(t[0, 1], t[1, 1] + x) - np.logaddexp(t[0, 0], t[1, 0] + x)
     back = lambda x: np.logaddexp(t[1, 0], t[1, 1] + x) - np.logaddexp(t[0, 0], t[0, 1] + x)
-    forward, behind = e.copy(), np.zeros_like(e)
+    forward, behind, total = e.copy(), np.zeros_like(e), np.zeros((2, 2))
     for s in range(1, sizes[0]):
         n = alive[s]
         forward[s, :n] += step(forward[s - 1, :n])
     for s in range(sizes[0] - 2, -1, -1):
         n = alive[s + 1]
-        behind[s, :n] = back(e[s + 1, :n] + behind[s + 1, :n])
+        later = e[s + 1, :n] + behind[s + 1, :n]
+        behind[s, :n] = back(later)
+        if moves:
+            # The four moves from s to s + 1, by what stands before and behind.
+            f = forward[s, :n]
+            joint = np.stack([np.full(n, t[0, 0]), t[0, 1] + later, t[1, 0] + f, t[1, 1] + f + later])
+            joint = np.exp(joint - joint.max(axis=0))
+            total += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
     p = 1 / (1 + np.exp(-np.clip(forward + behind, -60, 60)))
-    out: list[np.ndarray] = [np.zeros(0)] * len(order)
-    for k, i in enumerate(order):
-        out[i] = p[: sizes[k], k]
-    return out
-
-
-def pair_marginals(e: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Expected number of each move in one sentence."""
-    n = len(e)
-    u = np.stack([np.zeros(n), e], axis=1)
-    a, b = u.copy(), np.zeros((n, 2))
-    for s in range(1, n):
-        a[s] += np.logaddexp(a[s - 1, 0] + t[0], a[s - 1, 1] + t[1])
-    for s in range(n - 2, -1, -1):
-        x = u[s + 1] + b[s + 1]
-        b[s] = np.logaddexp(t[:, 0] + x[0], t[:, 1] + x[1])
-    z = np.logaddexp(a[-1, 0], a[-1, 1])
-    return np.exp(a[:-1, :, None] + t + (u[1:] + b[1:])[:, None, :] - z).sum(axis=0)
+    return [p[: sizes[k], k] for k in range(len(weights))], total
 
 
 class Chain:
     """The fitted model; small and bounded."""
 
     def __init__(self, rows: list[tuple[str, int]]):
-        # Every fourth row is kept back for the documents' scores.
-        self._learn([r for k, r in enumerate(rows) if k % 4] or rows)
-        self._calibrate(rows[::4])
+        # Every fourth row of each class is kept back for the documents' scores.
+        classes = [[r for r in rows if r[1] == y] for y in (0, 1)]
+        self._learn([r for c in classes for k, r in enumerate(c) if k % 4 or len(c) < 4])
+        self._calibrate([r for c in classes for r in c[::4]])
 
     def _learn(self, rows: list[tuple[str, int]]) -> None:
         toxic, clean = Counter(), Counter()
@@ -129,7 +135,7 @@ class Chain:
         for words, (t, y) in zip(bare, rows, strict=True):
             raw = t.lower().split()
             for a, b in sentences(raw):
-                own = words[a : min(b, a + LONGEST)]
+                own = words[a:b]
                 tags = [float(bool(y and w and not marks.isdisjoint(features(w)))) for w in own]
                 (with_ if any(tags) else without).append((own, tags))
         keep = lambda found: found[:: max(1, -(-len(found) // SENTENCES))]
@@ -138,7 +144,7 @@ class Chain:
         self.quiet = self._quiet()
 
     def _fit(self, data: list[tuple[list[str], list[float]]]) -> None:
-        """Adaptive gradient ascent of the penalised conditional log-likelihood, all sentences at once."""
+        """Adaptive gradient ascent of the penalised conditional log-likelihood, in word and move weights at once."""
         seen = Counter(f for words, _ in data for w in words for f in set(features(w)))
         index = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= 2))}
         at = [[index[f] for f in features(w) if f in index] for words, _ in data for w in words]
@@ -146,33 +152,33 @@ class Chain:
         flat = np.array([i for x in at for i in x], dtype=np.int64)
         tags = np.concatenate([np.array(y) for _, y in data])
         cuts = np.cumsum([len(words) for words, _ in data])[:-1]
-        moves = np.zeros((2, 2))
+        held = np.zeros((2, 2))
         for _, y in data:
-            np.add.at(moves, (np.array(y[:-1], dtype=int), np.array(y[1:], dtype=int)), 1)
-        w, g2, bias, b2 = np.zeros(len(index)), np.full(len(index), 1e-6), -2.0, 1e-6
-        # Moves between the states by their smoothed shares, against those of independent tokens.
-        share = np.clip(tags.mean(), 1e-4, 0.5)
-        given = (moves + 1) / (moves + 1).sum(axis=1, keepdims=True)
-        self.moves = np.log(given) - np.log(np.array([1 - share, share]))
-        self.moves = np.clip(self.moves, -2, 2)
+            np.add.at(held, (np.array(y[:-1], dtype=int), np.array(y[1:], dtype=int)), 1)
+        w, g2, bias, b2, t, t2 = np.zeros(len(index)), np.full(len(index), 1e-6), -2.0, 1e-6, np.zeros((2, 2)), np.full((2, 2), 1e-6)
         for _ in range(ROUNDS):
             e = bias + np.bincount(owner, weights=w[flat], minlength=len(at))
-            p = np.concatenate(marginals(np.split(e, cuts), self.moves))
-            miss = tags - p
-            grad = np.bincount(flat, weights=miss[owner], minlength=len(index)) - 0.05 * w
+            p, expected = expectations(np.split(e, cuts), t, moves=True)
+            miss = tags - np.concatenate(p)
+            grad = np.bincount(flat, weights=miss[owner], minlength=len(index)) - PENALTY * w
             g2 += grad**2
             w += 0.5 * grad / np.sqrt(g2)
             b2 += miss.sum() ** 2
             bias += 0.5 * miss.sum() / np.sqrt(b2)
-        self.bias = float(bias)
+            pull = held - expected - PENALTY * t
+            t2 += pull**2
+            t += 0.2 * pull / np.sqrt(t2)
+        self.bias, self.moves = float(bias), t
         self.w = {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 1e-3}
 
     def _quiet(self) -> float:
-        """The largest constant weight whose long chain stays at or below FLOOR, by bisection."""
+        """The largest constant weight whose chain stays at or below FLOOR, by bisection; none where states repel."""
+        if self.moves[0, 0] + self.moves[1, 1] < self.moves[0, 1] + self.moves[1, 0]:
+            return -np.inf
         low, high = -60.0, 10.0
         for _ in range(40):
             mid = (low + high) / 2
-            low, high = (mid, high) if marginals([np.full(200, mid)], self.moves)[0].max() <= FLOOR else (low, mid)
+            low, high = (mid, high) if max(expectations([np.full(n, mid) for n in range(1, LONGEST + 1)], self.moves)[0][n].max() for n in range(LONGEST)) <= FLOOR else (low, mid)
         return low
 
     def weight(self, word: str) -> float:
@@ -197,7 +203,7 @@ class Chain:
                     jobs.append(np.array(e[a:b]))
                     where.append((k, a))
         out: list[list[tuple[int, float]]] = [[] for _ in texts]
-        for (k, a), p in zip(where, marginals(jobs, self.moves), strict=True):
+        for (k, a), p in zip(where, expectations(jobs, self.moves)[0], strict=True):
             out[k] += [(a + int(i), float(p[i])) for i in np.flatnonzero(p > FLOOR)]
         return out
 

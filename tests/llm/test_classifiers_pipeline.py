@@ -66,21 +66,79 @@ def test_toxic_offsets(spark, labelled):
             assert any(x in texts[r.doc_id][a:b].lower() for x in ("vile", "oafish"))
 
 
-def test_marginals_against_enumeration():
+def enumerated(e, t):
+    """Marginals, expected moves and log of the partition sum, over all taggings."""
     import itertools
 
     import numpy as np
 
+    total, on, moves = 0.0, np.zeros(len(e)), np.zeros((2, 2))
+    for y in itertools.product((0, 1), repeat=len(e)):
+        pairs = list(zip(y, y[1:]))  # noqa: B905
+        w = np.exp(sum(a for a, s in zip(e, y, strict=True) if s) + sum(t[a, b] for a, b in pairs))
+        total, on = total + w, on + w * np.array(y)
+        for a, b in pairs:
+            moves[a, b] += w
+    return on / total, moves / total, np.log(total)
+
+
+def test_expectations_against_enumeration(monkeypatch):
+    import numpy as np
+
     draw = np.random.default_rng(4)
-    for n in (1, 2, 5):
+    for at_once in (1, 7, 1000):
+        monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
         t = draw.normal(size=(2, 2))
-        e = [draw.normal(size=n), draw.normal(size=max(1, n - 1))]
-        for weights, got in zip(e, toxicity.marginals(e, t), strict=True):
-            total, on = 0.0, np.zeros(len(weights))
-            for y in itertools.product((0, 1), repeat=len(weights)):
-                w = np.exp(sum(a for a, s in zip(weights, y, strict=True) if s) + sum(t[a, b] for a, b in zip(y, y[1:])))  # noqa: B905
-                total, on = total + w, on + w * np.array(y)
-            assert np.allclose(got, on / total)
+        e = [draw.normal(size=n) for n in (1, 5, 3, 0, 5, 2)]
+        got, moves = toxicity.expectations(e, t, moves=True)
+        want = [enumerated(x, t) for x in e]
+        assert all(np.allclose(g, w[0]) for g, w in zip(got, want, strict=True))
+        assert np.allclose(moves, sum(w[1] for w in want))
+
+
+def test_gradient_against_finite_differences():
+    """Held less expected moves is the slope of the conditional log-likelihood."""
+    import numpy as np
+
+    draw = np.random.default_rng(6)
+    e, t, y = draw.normal(size=6), draw.normal(size=(2, 2)), [0, 1, 1, 0, 0, 1]
+    like = lambda t: sum(x for x, s in zip(e, y, strict=True) if s) + sum(t[a, b] for a, b in zip(y, y[1:])) - enumerated(e, t)[2]  # noqa: E731, B905
+    held = np.zeros((2, 2))
+    np.add.at(held, (np.array(y[:-1]), np.array(y[1:])), 1)
+    slope = held - toxicity.expectations([e], t, moves=True)[1]
+    for a in (0, 1):
+        for b in (0, 1):
+            d = np.zeros((2, 2))
+            d[a, b] = 1e-5
+            assert abs((like(t + d) - like(t - d)) / 2e-5 - slope[a, b]) < 1e-6
+
+
+def test_moves_are_learned():
+    """In training data whose marks come in pairs a second mark is likelier after a first."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(400):
+        w = words(draw, 12).split()
+        if i % 2:
+            k = draw.randrange(9)
+            w[k : k + 2] = [draw.choice(["vilefool", "vilefish"]), draw.choice(["oafish", "oafling"])]
+        rows.append((" ".join(w) + ".", i % 2))
+    chain = toxicity.Chain(rows)
+    t = chain.moves
+    assert t[0, 0] + t[1, 1] > t[0, 1] + t[1, 0]
+    assert chain.score(chain.tagged(["ka ro vilefool oafish mi."])[0]) > 0.7 > chain.score(chain.tagged(["ka ro mi te."])[0])
+
+
+def test_very_long_sentences():
+    """A million words without a full stop, beside short texts, in little memory."""
+    import tracemalloc
+
+    draw = random.Random(3)
+    chain = toxicity.Chain([(words(draw, 20) + (" vilefool." if i % 2 else "."), i % 2) for i in range(200)])
+    tracemalloc.start()
+    found = chain.tagged([" ".join(["ka ro vilefool mi te"] * 200_000), *["vilefool ka."] * 300])
+    assert tracemalloc.get_traced_memory()[1] < 600e6 and len(found[0]) >= 200_000
+    tracemalloc.stop()
 
 
 def test_pipeline(spark, labelled, tmp_path):
