@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-Terms are hashed byte pairs and a few word shapes (a word equal to the one before it, words in
-capitals, words with symbols). Weighted and normalised term vectors of a bounded sample of labelled
+Terms are hashed byte pairs, and for every word how far back the same word stood last (in powers of two, or never).
+Weighted and normalised term vectors of a bounded sample of labelled
 documents give, by the eigenvectors of their Gram matrix, the latent space. The sample's
 latent vectors, at most ``2 * PER_CLASS`` rows of ``RANK`` numbers, are broadcast. Every document is
 folded in by its whole text, exact cosines with all of them are computed block by block, and the
@@ -31,12 +31,10 @@ from .labelled import held_out, sample
 PER_CLASS = 1500
 MOST_CHARS = 200_000
 PAIRS = 2048
-SHAPES = 4
+DISTANCES = 8
 RANK = 48
 NEIGHBOURS = 15
 BLOCK = 256
-#: How much a shape weighs against byte pairs.
-SHAPE_WEIGHT = 4.0
 
 
 def _buckets() -> np.ndarray:
@@ -46,23 +44,23 @@ def _buckets() -> np.ndarray:
 
 
 BUCKET = _buckets()
-SYMBOLS = str.maketrans("", "", "#*$%&|<>!")
 
 
 def terms(text: str) -> np.ndarray:
-    """Square roots of the relative frequencies of byte pairs, then of the shapes among the words."""
-    out = np.zeros(PAIRS + SHAPES, dtype=np.float32)
+    """Square roots of the relative frequencies of byte pairs, then of the words' distances to their last occurrence."""
+    out = np.zeros(PAIRS + DISTANCES, dtype=np.float32)
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     if len(data) > 1:
         out[:PAIRS] = np.bincount(BUCKET[data[:-1].astype(np.int64) * 256 + data[1:]], minlength=PAIRS) / (len(data) - 1)
     words = text.split()
+    last: dict[str, int] = {}
+    distances = [0] * (DISTANCES + 1)
+    for i, w in enumerate(words):
+        before = last.get(w)
+        last[w] = i
+        distances[0 if before is None else min(DISTANCES - 1, (i - before).bit_length())] += 1
     if words:
-        n = len(words)
-        again = sum(map(str.__eq__, words, words[1:]))
-        upper = sum(map(str.isupper, words))
-        symbols = len(text) - len(text.translate(SYMBOLS)) if not text.isalnum() else 0
-        out[PAIRS:] = again / n, upper / n, min(symbols / n, 1.0), 1 - len(set(words)) / n if n > 50 else 0.0
-        out[PAIRS:] *= SHAPE_WEIGHT
+        out[PAIRS:] = np.array(distances[:DISTANCES]) / len(words)
     return np.sqrt(out)
 
 
@@ -89,6 +87,10 @@ class Space:
         cosine = self._unit(self._weighted(rows) @ self.basis) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        # Where the last of them has equals outside, those first in the sample are taken.
+        least = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+        for r in np.flatnonzero((cosine >= least[:, None]).sum(axis=1) > k):
+            near[r] = np.argsort(-cosine[r], kind="stable")[:k]
         weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 8 + 1e-12
         vote = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.where(rows.any(axis=1), np.clip(vote, 0, 1), self.share)

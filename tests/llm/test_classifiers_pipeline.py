@@ -57,6 +57,36 @@ def test_odd_rows(spark, labelled, op):
     assert op(spark.createDataFrame([], odd.schema), labels).count() == 0
 
 
+def test_votes_against_brute_force(spark, labelled):
+    """Every score from all cosines, sorted; equal ones in the sample's order. The sample holds texts more than once."""
+    import numpy as np
+
+    docs, labels, rows = labelled
+    twice = docs.unionByName(docs.where("doc_id < 200").selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars"))
+    more = labels.unionByName(labels.where("doc_id < 200").selectExpr("doc_id + 5000 AS doc_id", "1 - quality AS quality", "toxic"))
+    space = quality_classifier.fitted(twice, more)
+    unit = lambda x: x / max(np.linalg.norm(x), 1e-30)
+    got = {r.doc_id: r.score for r in quality_classifier.score(twice, more).collect()}
+    tied = 0
+    for i, t, _, _ in rows[:150]:
+        latent = unit(unit(quality_classifier.terms(t) * space.weight) @ space.basis)
+        cosine = np.array([latent @ v for v in space.vectors], dtype=np.float32)
+        order = sorted(range(len(cosine)), key=lambda k: (-round(float(cosine[k]), 5), k))
+        k = quality_classifier.NEIGHBOURS
+        tied += round(float(cosine[order[k - 1]]), 5) == round(float(cosine[order[k]]), 5)
+        w = np.maximum(cosine[order[:k]], 0) ** 8
+        assert round(float(cosine[order[k - 1]]), 5) == round(float(cosine[order[k]]), 5) or abs((w * space.labels[order[:k]]).sum() / w.sum() - got[i]) < 1e-3
+    assert len(space.vectors) <= 2 * quality_classifier.PER_CLASS
+
+
+def test_equal_cosines_go_by_the_samples_order():
+    import numpy as np
+
+    rows = np.eye(4, dtype=np.float32)[[0] * 20 + [1] * 20 + [2] * 5]
+    space = quality_classifier.Space(rows, np.array([1.0] * 15 + [0.0] * 5 + [0.0] * 15 + [1.0] * 5 + [1.0] * 5))
+    assert np.allclose(space.scores(np.eye(4, dtype=np.float32)[[0, 1]]), [1.0, 0.0], atol=1e-6)
+
+
 def test_toxic_offsets(spark, labelled):
     docs, labels, rows = labelled
     texts = {r[0]: r[1] for r in rows}
