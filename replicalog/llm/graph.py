@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b. Returns node, root (least node of its component) for every node that has an edge.
 
     Alternates two steps until the edges stay as they are: every node hands its larger neighbours
@@ -18,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = checkpointed(e)
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
@@ -31,4 +31,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
         before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

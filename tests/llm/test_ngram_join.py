@@ -76,6 +76,20 @@ def test_search_alone():
             assert [want.root(i) for i in range(60)] == [got.root(i) for i in range(60)]
 
 
+def test_all_pairs_and_repeated_rows(spark):
+    texts = corpus(4, 60)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found, members = ngram_join.pairs(docs, slice_size=300)
+    sets = {i: brute.shingle_sets(t) for i, t in texts.items()}
+    rep = {i: min(j for j in texts if sets[j] == s) if s else i for i, s in sets.items()}
+    reps = sorted(set(rep.values()))
+    want = {(a, b) for a in reps for b in reps if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert {tuple(r) for r in found.collect()} == want and {tuple(r) for r in members.collect()} == set(rep.items())
+    rows = [(7, "one two three four five six", "a"), (7, "one two three four five six", "a"), (8, "one two three four five six", "b"), (9, "own", "c")]
+    once = ngram_join.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string, __lost string"))
+    assert sorted(map(tuple, once.collect())) == [rows[0], rows[3]]
+
+
 def test_odd_rows(spark):
     docs = brute.odd_docs(spark)
     docs = docs.unionByName(docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "lang", "source", "n_chars", "w")).unionByName(docs.where("doc_id = 4"))
