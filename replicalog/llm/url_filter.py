@@ -4,9 +4,9 @@ Two variable-order Markov models over characters, one of accepted and one of rej
 share one inventory of grams and are smoothed by Witten-Bell interpolation, so that a
 gram's probability falls back on its suffix. A URL's score is the difference of the two
 log-likelihoods over its length; the cut is calibrated on a held-out fifth of the labelled
-URLs. Labelled URLs are those that a rule decides, and hosts that hold a seed word. The
-models read the host without its last two labels, and the path: what the rules themselves
-decide on is left out.
+URLs, so that ``ACCEPTED`` of the accepted ones among them pass. Labelled URLs are those that a rule decides, and hosts that hold a seed word. The
+models read the host without its last two labels, and the path without its first segment: what the rules themselves
+decide on is left out, so that no URL is judged by a language or domain that only the rules' examples share.
 
 Everything is a join or an aggregate. Grams are counted with map-side combining; every gram and
 context that occurs stays in the inventory, at every size. Distinct windows are scored once, whatever
@@ -35,10 +35,12 @@ SEEDS = ("spam", "pills", "casino", "porn", "viagra", "warez")
 #: Contexts of up to so many characters.
 ORDER = 4
 #: Grams of one length that are broadcast at most; beyond it they are joined by a shuffle.
-MAX_GRAMS = 400_000
-#: Windows that are broadcast at most; beyond it they are joined by a shuffle.
-MAX_WINDOWS = 2_000_000
+MAX_GRAMS = 100_000
+#: Windows that are broadcast at most; beyond it they are joined by a shuffle. A gram or window has ORDER + 1 characters and
+#: a number: below 64 bytes, so that no broadcast holds more than 32 MB.
+MAX_WINDOWS = 500_000
 ALPHABET = 256
+ACCEPTED = 0.95
 AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -125,7 +127,7 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     d = parts(pages, rules)
     seeded = F.col("host").rlike("|".join(seeds))
     label = F.when(F.col("ruled") == "block", 0).when((F.col("ruled") == "allow") & ~seeded, 1).when(F.col("ruled").isNull() & seeded, 0)
-    m = F.concat(F.regexp_replace("host", r"[^.]*\.?[^.]*$", ""), "path")
+    m = F.concat(F.regexp_replace("host", r"[^.]*\.?[^.]*$", ""), F.regexp_replace("path", "^/[^/]*", ""))
     d = d.select("*", m.alias("m"), label.alias("label"), (F.pmod(F.xxhash64(m), F.lit(5)) == 0).alias("aside"))
     texts = checkpointed(d.groupBy("m").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"), F.first("aside").alias("aside")))
     labelled = texts.select("m", "aside", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.col("good").alias("n")), F.struct(F.lit(0).alias("label"), F.col("bad").alias("n")))).alias("x")).select("m", "aside", "x.*").where("n > 0")
@@ -140,11 +142,13 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
 
 
 def _calibrated(held_out: DataFrame) -> float:
-    """The cut, in hundredths, with the best sum of both classes' rates; at most one row per hundredth is collected."""
+    """The largest cut, in hundredths, that keeps ACCEPTED of the accepted examples; at most one row per hundredth is
+    collected. Without any it is 0."""
     step = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("score") * 100)))
-    rows = held_out.groupBy(step.alias("s")).agg(F.sum(F.col("label") * F.col("n")).alias("a"), F.sum((1 - F.col("label")) * F.col("n")).alias("r")).collect()
-    good, bad = sum(r["a"] for r in rows), sum(r["r"] for r in rows)
-    if not good or not bad:
-        return 0.0
-    rate = lambda s: sum(r["a"] for r in rows if r["s"] >= s) / good + sum(r["r"] for r in rows if r["s"] < s) / bad
-    return max(sorted((r["s"] for r in rows), key=lambda s: (abs(s), s)), key=rate) / 100
+    rows = held_out.where("label = 1").groupBy(step.alias("s")).agg(F.sum("n").alias("a")).collect()
+    good, kept = sum(r["a"] for r in rows), 0
+    for r in sorted(rows, key=lambda r: -r["s"]):
+        kept += r["a"]
+        if kept >= ACCEPTED * good:
+            return r["s"] / 100
+    return 0.0

@@ -133,3 +133,25 @@ def test_url_models_keep_every_gram(spark, monkeypatch):
     free = scored()
     monkeypatch.setattr(url_filter, "MAX_GRAMS", 10)
     assert free[0] == len(grams) and scored() == free
+
+
+def test_url_cut_against_brute_force(spark):
+    """The largest cut of all in hundredths that lets enough of the accepted examples pass."""
+    draw = random.Random(31)
+    rows = [(draw.gauss(0.3 if y else -0.2, 0.3), y, draw.randint(1, 4)) for y in (0, 1) for _ in range(200)]
+    cut = url_filter._calibrated(spark.createDataFrame(rows, "score double, label int, n long"))
+    good = sum(n for _, y, n in rows if y)
+    enough = [c / 100 for c in range(-300, 300) if sum(n for s, y, n in rows if y and s >= c / 100) >= url_filter.ACCEPTED * good]
+    assert abs(cut - max(enough)) < 0.0100001
+
+
+def test_url_seed_words_are_learned_and_languages_are_not(spark):
+    """Hosts like those with a seed word are blocked where no rule decides, others are allowed whatever their language."""
+    draw = random.Random(33)
+    name = lambda: "".join(draw.choices(["th", "er", "on", "in", "an"], k=3))
+    rows = [(i, f"https://{name()}.example.{draw.choice(['net', 'org'])}/{draw.choice(['en', 'fr', 'de', 'es'])}/{i}") for i in range(600)]
+    rows += [(1000 + i, f"https://casino-{name()}.example.com/en/{i}") for i in range(60)]
+    plain = [(2000 + i, f"https://{name()}.example.com/{lang}/{i}") for i, lang in enumerate(["en", "fr", "es"] * 20)]
+    like = [(3000 + i, f"https://casin0-{name()}.example.com/en/{i}") for i in range(20)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows + plain + like, "page_id long, url string")).collect()}
+    assert sum(got[i] == "block" for i, _ in like) >= 18 and sum(got[i] == "allow" for i, _ in plain) >= 54
