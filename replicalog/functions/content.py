@@ -61,6 +61,11 @@ def same_content(a: str, b: str) -> Column:
     return (F.col(f"{a}.type") == F.col(f"{b}.type")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.blocks") == F.col(f"{b}.blocks"))
 
 
+def same_key(a: str, b: str) -> Column:
+    """The same of two struct columns that hold the content's key for its blocks."""
+    return (F.col(f"{a}.type") == F.col(f"{b}.type")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.content") == F.col(f"{b}.content"))
+
+
 def content_key(size: Column | str, blocks: Column | str) -> Column:
     return F.sha2(F.concat_ws(":", _c(size).cast("string"), F.array_join(_c(blocks), ",")), 256)
 

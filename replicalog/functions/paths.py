@@ -112,5 +112,5 @@ def problem(error: Column | str) -> Column:
         .when(has("permission denied"), "permission denied — check PUID/PGID ownership")
         .when(has("read-only file system", "erofs"), "share is read-only — check the SMB export / array mode")
         .when(has("hash mismatch", "bad transfer"), "transfer failed hash verification — will re-request")
-        .otherwise(F.concat(F.lit("cannot apply: "), F.left(s, F.lit(140))))
+        .otherwise(F.concat(F.lit("cannot apply: "), F.when(F.octet_length(s) <= 140, s).otherwise(F.make_valid_utf8(F.substring(s.cast("binary"), 1, 140).cast("string")))))
     )

@@ -39,8 +39,8 @@ def scan_diff(listing: DataFrame, catalog: DataFrame, rules: DataFrame | None =
     )
     d = d.withColumn("kind", kind).where("kind IS NOT NULL")
     if incomplete is not None:
-        bad = incomplete.select("folder").distinct().withColumn("bad", F.lit(True))
-        d = d.join(F.broadcast(bad), "folder", "left").where("bad IS NULL OR kind <> 'deleted'").drop("bad")
+        bad = incomplete.select("folder").distinct().withColumn("kind", F.lit("deleted"))
+        d = d.join(bad, ["folder", "kind"], "left_anti").select(d.columns)
     return d.select("folder", "name", "kind", F.col("now.rule").alias("rule"), "now", F.col("had.type").alias("had_type"))
 
 
@@ -53,6 +53,9 @@ def hashed(changes: DataFrame, contents: DataFrame) -> DataFrame:
     needs = changes.where("kind IN ('added', 'modified') AND now.type = 0")
     rest = changes.where("NOT (kind IN ('added', 'modified') AND now.type = 0)").withColumns({"block_size": F.lit(0), "blocks": F.array().cast("array<string>")})
     size = content.block_size("now.size")
+    # Nothing is read of empty files, which some sources do not even list.
+    empty = needs.where("now.size = 0").withColumns({"block_size": size, "blocks": F.array().cast("array<string>")})
+    rest, needs = rest.unionByName(empty), needs.where("now.size > 0")
     done = needs.join(contents.where("content IS NOT NULL").select("folder", "name", "content"), ["folder", "name"])
     done = rest.unionByName(done.withColumns({"block_size": size, "blocks": content.block_hashes("content", size)}).drop("content"))
     if "path" not in contents.columns:

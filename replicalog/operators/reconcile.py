@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import content, vectors
 from ..functions.paths import conflict_name
 
-FIELDS = ["replica", "size", "modified_s", "modified_ns", "mode", "type", "deleted", "version", "block_size", "blocks", "sequence"]
+#: What of an entry takes part in decisions; its blocks do as one key.
+FIELDS = ["replica", "size", "modified_s", "type", "deleted", "version"]
 
 
 def mtime_nanos(c: str = "") -> Column:
@@ -21,13 +22,13 @@ def mtime_nanos(c: str = "") -> Column:
 
 
 def global_winner(catalog: DataFrame, local: str) -> DataFrame:
-    """folder, name, winner (struct of FIELDS), is_local, mine (the local struct or null).
+    """folder, name, winner (struct of FIELDS and content), is_local, mine (the local struct or null).
 
     Versions that another one strictly dominates go; of the concurrent rest the newest wins, then the largest canonical
     vector, then the local one.
     """
     one = F.struct(
-        mtime_nanos().alias("mtime"), vectors.canonical("version").alias("canon"), (F.col("replica") == local).alias("is_local"), F.col("replica").alias("by"), F.struct(*FIELDS).alias("entry")
+        mtime_nanos().alias("mtime"), vectors.canonical("version").alias("canon"), (F.col("replica") == local).alias("is_local"), F.col("replica").alias("by"), F.struct(*FIELDS, content.content_key("size", "blocks").alias("content")).alias("entry")
     )
     # Compared as (mtime, canon, is_local, by); the entry holds a map, which has no order, and is looked up after.
     d = catalog.groupBy("folder", "name").agg(F.collect_list(one).alias("all"))
@@ -44,7 +45,7 @@ def reasons(winners: DataFrame) -> DataFrame:
     """Adds reason: why the local replica must pull the winner, or null."""
     absent, gone, dead = F.col("mine").isNull(), F.col("mine.deleted"), F.col("winner.deleted")
     later = vectors.dominates("winner.version", "mine.version")
-    clash = vectors.concurrent("winner.version", "mine.version") & ~content.same_content("winner", "mine")
+    clash = vectors.concurrent("winner.version", "mine.version") & ~content.same_key("winner", "mine")
     reason = (
         F.when(absent, F.when(~dead, "absent"))
         .when(~gone & dead, "delete")
@@ -152,7 +153,7 @@ def overwrite_plan(catalog: DataFrame, local: str, folders: DataFrame) -> DataFr
     d = reasons(global_winner(catalog, local)).where("reason IS NOT NULL")
     d = d.join(folders.select(F.col("id").alias("folder"), "conflict", "versioned"), "folder")
     live = F.col("mine").isNotNull() & ~F.col("mine.deleted")
-    clash = vectors.concurrent("winner.version", "mine.version") & ~content.same_content("winner", "mine")
+    clash = vectors.concurrent("winner.version", "mine.version") & ~content.same_key("winner", "mine")
     copy = live & clash & (F.col("conflict") == "conflict-copy") & ~F.col("versioned")
     return d.select(
         "folder", "name", F.coalesce(live & F.col("versioned"), F.lit(False)).alias("archive"), F.coalesce(copy, F.lit(False)).alias("conflict_copy"),
@@ -173,7 +174,8 @@ def conflict_copies(plan: DataFrame, catalog: DataFrame, local: str) -> DataFram
 def adopt(catalog: DataFrame, local: str, names: DataFrame) -> DataFrame:
     """Catalog updates that take the winner's entry as it is, for folder and name in ``names``."""
     d = global_winner(catalog, local).where("NOT is_local").join(names.select("folder", "name"), ["folder", "name"], "left_semi")
-    d = d.select("folder", "name", "winner.*").withColumns({"replica": F.lit(local), "sequence": F.lit(None).cast("long"), "invalid": F.lit(False)})
+    won = d.select("folder", "name", F.col("winner.replica").alias("replica"))
+    d = catalog.join(won, ["folder", "name", "replica"]).withColumns({"replica": F.lit(local), "sequence": F.lit(None).cast("long"), "invalid": F.lit(False)})
     return d.select(catalog.columns)
 
 
