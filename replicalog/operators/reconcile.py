@@ -132,7 +132,8 @@ def validate_moves(moves: DataFrame, catalog: DataFrame, local: str, peer: str)
     return d.withColumn("problem", problem).drop("source", "goal", "there")
 
 
-def _tombstone(d: DataFrame, device: str) -> DataFrame:
+def tombstones(d: DataFrame, device: str) -> DataFrame:
+    """Catalog updates that delete the entries of ``d``."""
     return d.withColumns({
         "size": F.lit(0).cast("long"), "modified_s": F.lit(0).cast("long"), "modified_ns": F.lit(0), "deleted": F.lit(True), "version": vectors.bump("version", device),
         "block_size": F.lit(0), "blocks": F.slice("blocks", 1, 0), "sequence": F.lit(None).cast("long"),
@@ -143,7 +144,7 @@ def apply_moves(moves: DataFrame, catalog: DataFrame, local: str, peer: str) ->
     """Catalog updates of valid moves: a tombstone at the source, the peer's entry at the target."""
     valid = validate_moves(moves, catalog, local, peer).where("problem IS NULL").select("folder", "from_name", "to_name")
     mine, theirs = catalog.where(F.col("replica") == local), catalog.where(F.col("replica") == peer)
-    source = _tombstone(mine.join(valid.select("folder", F.col("from_name").alias("name")), ["folder", "name"], "left_semi"), local)
+    source = tombstones(mine.join(valid.select("folder", F.col("from_name").alias("name")), ["folder", "name"], "left_semi"), local)
     target = theirs.join(valid.select("folder", F.col("to_name").alias("name")), ["folder", "name"], "left_semi").withColumns({"replica": F.lit(local), "sequence": F.lit(None).cast("long")})
     return source.unionByName(target)
 
@@ -187,7 +188,7 @@ def apply_deletions(catalog: DataFrame, local: str, names: DataFrame) -> DataFra
     parts = F.split("name", "/")
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     hit = mine.select("folder", "name", F.explode(up).alias("__goal")).join(goal, ["folder", "__goal"], "left_semi").select("folder", "name").distinct()
-    return _tombstone(mine.join(hit, ["folder", "name"], "left_semi"), local).withColumn("type", F.lit(0))
+    return tombstones(mine.join(hit, ["folder", "name"], "left_semi"), local).withColumn("type", F.lit(0))
 
 
 def shared_folders(folders: DataFrame, advertised: DataFrame, peer: str) -> DataFrame:

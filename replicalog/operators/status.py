@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
 from ..functions.content import content_hash, preview
 from ..functions.paths import conflict_original, conflict_stem, is_conflict_copy
 from . import catalog as cat
@@ -32,40 +33,75 @@ def peers_all(folders: DataFrame, peers: DataFrame) -> DataFrame:
 
 
 def sharing_status(folders: DataFrame, peers: DataFrame, advertised: DataFrame) -> DataFrame:
-    """Per folder: peers it may go to, how many of them share it, and whether it is an orphan."""
-    pairs = folders.select("id", "peers").join(F.broadcast(peers.select("peer")), reconcile.allows_peer("peers", F.col("peer")), "left")
-    theirs = advertised.select(F.col("peer").alias("p"), F.col("folder").alias("f"), F.lit(1).alias("shares")).distinct()
-    d = pairs.join(theirs, (F.col("id") == F.col("f")) & (F.col("peer") == F.col("p")), "left")
-    d = d.groupBy("id").agg(F.count("peer").alias("known"), F.count("shares").alias("shared"))
+    """Per folder: peers seen that it may go to, how many of them share it, and whether it is an orphan."""
+    theirs = advertised.select("peer", F.col("folder").alias("f")).distinct()
+    seen = peers.select("peer").distinct().join(theirs.select("peer").distinct(), "peer", "left_semi")
+    theirs = theirs.join(seen, "peer", "left_semi")
+    # Folders with a list of peers by that list; for the others all peers count, which one row of totals says.
+    open_ = folders.where((F.size("peers") <= 0) | F.col("peers").isNull()).select("id")
+    listed = folders.where(F.size("peers") > 0).select("id", F.explode(F.array_distinct("peers")).alias("peer")).join(seen, "peer")
+    listed = listed.join(theirs.withColumn("shares", F.lit(1)), (listed["id"] == theirs["f"]) & (listed["peer"] == theirs["peer"]), "left").groupBy("id").agg(F.count("*").alias("known"), F.count("shares").alias("shared"))
+    all_ = open_.join(theirs.groupBy("f").agg(F.count("*").alias("shared")), F.col("id") == F.col("f"), "left").crossJoin(seen.agg(F.count("*").alias("known")))
+    d = folders.select("id").join(listed.unionByName(all_.select("id", "known", F.coalesce("shared", F.lit(0)).alias("shared"))), "id", "left").na.fill(0, ["known", "shared"])
     return d.withColumn("not_shared", (F.col("known") > 0) & (F.col("shared") == 0))
 
 
-def folder_status(catalog: DataFrame, local: str, folders: DataFrame, peers: DataFrame, events: DataFrame, archive_stats: DataFrame) -> DataFrame:
-    """One row per folder; every part is an aggregate by folder."""
+def folder_status(
+    catalog: DataFrame, local: str, folders: DataFrame, peers: DataFrame, events: DataFrame, archive_stats: DataFrame, advertised: DataFrame | None = None, transfers: DataFrame | None = None
+) -> DataFrame:
+    """One row per folder; every part is an aggregate by folder. Winners are chosen once, for pulls, deletions and the
+    guard. ``folders`` has a column peers where ``advertised`` is given."""
     stats = cat.catalog_stats(catalog.where(F.col("replica") == local)).drop("replica")
-    pulls = reconcile.pending_totals(catalog, local)
-    dels = reconcile.pending_deletions(catalog, local).groupBy("folder").agg(F.count("*").alias("pending_deletions"))
+    d = reconcile.reasons(reconcile.global_winner(catalog, local))
+    deleted, pulled = F.col("reason") == "delete", F.col("reason") != "delete"
+    names = d.groupBy("folder").agg(
+        F.count_if(pulled).alias("pending"), F.sum(F.when(pulled, F.col("winner.size"))).alias("pending_bytes"), F.count_if(deleted).alias("pending_deletions"), F.count_if(~F.col("mine.deleted")).alias("live")
+    )
     ups = reconcile.pending_uploads(catalog, local, peers).groupBy("folder").agg(F.count("*").alias("uploads"))
-    guard = guards.deletion_guard(catalog, folders, local).select("folder", F.col("blocked").alias("guard"))
-    d = folders.select(F.col("id").alias("folder"))
-    for part in (stats, pulls, dels, ups, count_open(events), archive_stats):
+    d = folders.select(F.col("id").alias("folder"), "max_delete_pct", "max_delete_files")
+    for part in (stats, names, ups, count_open(events), archive_stats):
         d = d.join(part, "folder", "left")
-    d = d.na.fill(0).join(guard, "folder", "left").withColumn("guard", F.coalesce("guard", F.lit(False)))
+    guard = guards.tripped(F.coalesce("live", F.lit(0)), F.coalesce("pending_deletions", F.lit(0)), F.col("max_delete_pct"), F.col("max_delete_files"))
+    d = d.withColumn("guard", guard).drop("live", "max_delete_pct", "max_delete_files").na.fill(0)
+    if advertised is not None:
+        d = d.join(peers_all(folders, peers).withColumnRenamed("id", "folder"), "folder", "left")
+        d = d.join(sharing_status(folders, peers, advertised).select(F.col("id").alias("folder"), F.col("shared").alias("shared_peers"), "not_shared"), "folder", "left")
+    if transfers is not None:
+        d = d.join(transfer_stats(transfers).withColumnRenamed("last_session", "last_sync"), "folder", "left").na.fill(0, ["bytes_up", "bytes_down", "files_down", "sessions"])
     return d.orderBy("folder")
 
 
 def node_status(status: DataFrame) -> DataFrame:
-    return status.agg(
-        F.count("*").alias("folders"), F.sum("live_files").alias("live_files"), F.sum("conflicts").alias("conflicts"), F.sum("versions").alias("versions"),
-        F.sum("pending").alias("pending"), F.sum("open_conditions").alias("open_conditions"),
-    )
+    """One row over all folders; bytes and the last sync where the folders' rows have them."""
+    total = [c for c in ("live_files", "conflicts", "conflict_bytes", "versions", "bytes", "pending", "open_conditions", "bytes_up", "bytes_down") if c in status.columns]
+    last = [F.max("last_sync").alias("last_sync")] if "last_sync" in status.columns else []
+    return status.agg(F.count("*").alias("folders"), *[F.sum(c).alias(c) for c in total], *last)
 
 
-def peer_status(attempts: DataFrame, peers: DataFrame, now_s: int) -> DataFrame:
-    """``attempts``: peer, ts, ok, folders_synced."""
+def peer_status(attempts: DataFrame, peers: DataFrame, now_s: int, advertised: DataFrame | None = None) -> DataFrame:
+    """``attempts``: peer, ts, ok, folders_synced. With ``advertised`` also whether the peer was ever seen, and its folders;
+    with a column fingerprint of ``peers``, whether it is pinned."""
     last = attempts.groupBy("peer").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_online"), F.max(F.when(F.col("ok") & (F.col("folders_synced") > 0), F.col("ts"))).alias("last_sync"))
-    d = peers.select("peer").join(last, "peer", "left")
-    return d.withColumn("connected", F.coalesce(F.col("last_online") > now_s - ONLINE_S, F.lit(False)))
+    pinned = [(F.btrim(F.coalesce("fingerprint", F.lit(""))) != "").alias("pinned")] if "fingerprint" in peers.columns else []
+    d = peers.select("peer", *pinned).join(last, "peer", "left")
+    d = d.withColumn("connected", F.coalesce(F.col("last_online") > now_s - ONLINE_S, F.lit(False)))
+    if advertised is None:
+        return d
+    seen = advertised.groupBy("peer").agg(F.array_join(F.array_sort(F.collect_set("folder")), ",").alias("known_folders"))
+    return d.join(seen, "peer", "left").withColumn("known", F.col("known_folders").isNotNull()).withColumn("known_folders", F.coalesce("known_folders", F.lit("")))
+
+
+def resolve_peers(refs: DataFrame, peers: DataFrame, self_id: str, self_name: str) -> DataFrame:
+    """``refs``: ref, an id or a name in any case. Adds peer (null if unknown) and is_self. ``peers``: peer, name. Of peers
+    with one name the least id counts; a number is an id, never a name."""
+    number = F.col("ref").rlike("^0*[1-9][0-9]*$")
+    bare = F.regexp_replace("ref", "^0+(?=[1-9])", "")
+    by_id = peers.select(F.col("peer").alias("by_id")).distinct()
+    by_name = peers.groupBy(F.lower("name").alias("key")).agg(F.min("peer").alias("by_name"))
+    d = refs.withColumn("__id", F.when(number, bare)).withColumn("__name", F.when(~number, F.lower("ref")))
+    d = d.join(by_id, F.col("__id") == F.col("by_id"), "left").join(by_name, F.col("__name") == F.col("key"), "left")
+    is_self = (F.lower("ref") == self_name.lower()) | F.coalesce(F.col("__id") == self_id, F.lit(False))
+    return d.select(*refs.columns, F.coalesce("by_id", "by_name").alias("peer"), is_self.alias("is_self"))
 
 
 def transfer_stats(transfers: DataFrame) -> DataFrame:
@@ -113,10 +149,17 @@ def attention(catalog: DataFrame, events: DataFrame, local: str, peers: DataFram
     )
 
 
-def compare_conflicts(catalog: DataFrame, contents: DataFrame, replica: str) -> DataFrame:
-    """Every conflict copy beside its live file: sizes, times, hashes, previews, and whether they are the same."""
-    live = catalog.where((F.col("replica") == replica) & ~F.col("deleted")).join(contents.select("folder", "name", "content"), ["folder", "name"], "left")
-    side = lambda d: F.struct("size", "modified_s", content_hash("content").alias("sha256"), preview("content").alias("preview"), "version")
-    copies = live.where(is_conflict_copy("name")).select("folder", F.col("name").alias("copy_name"), conflict_original("name").alias("name"), side(live).alias("copy"))
-    files = live.select("folder", "name", side(live).alias("file"))
+def compare_conflicts(catalog: DataFrame, contents: DataFrame, replica: str, names: DataFrame | None = None, self_id: str = "") -> DataFrame:
+    """Every conflict copy beside its live file: sizes, times, hashes, previews, who wrote each last and in how many
+    edits, and whether they are the same. ``names``: device, name of the devices."""
+    live = catalog.where((F.col("replica") == replica) & ~F.col("deleted")).join(contents.select("folder", "name", F.col("content").cast("binary").alias("content")), ["folder", "name"], "left")
+    known = F.expr("CAST(map() AS map<string, string>)")
+    if names is not None:
+        # One row: the configured devices.
+        live = live.crossJoin(names.agg(F.map_from_entries(F.collect_list(F.struct("device", "name"))).alias("__names")))
+        known = F.col("__names")
+    last, history = vectors.summary("version", known, self_id or replica)
+    side = F.struct("size", "modified_s", content_hash("content").alias("sha256"), preview("content").alias("preview"), last.alias("produced_by"), history.alias("history"))
+    copies = live.where(is_conflict_copy("name")).select("folder", F.col("name").alias("copy_name"), conflict_original("name").alias("name"), side.alias("copy"))
+    files = live.select("folder", "name", side.alias("file"))
     return copies.join(files, ["folder", "name"], "left").withColumn("identical", F.coalesce(F.col("copy.sha256") == F.col("file.sha256"), F.lit(False)))

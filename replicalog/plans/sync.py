@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
-from ..operators import diff, guards, reconcile
+from ..operators import diff, guards, reconcile, retention
+from ..operators import events as ev
 
 
 @dataclass(frozen=True)
@@ -44,3 +45,10 @@ def apply_plan(catalog: DataFrame, p: Plan, local: str, peer: str) -> DataFrame:
     copies = reconcile.conflict_copies(p.overwrites, c, local)
     won = reconcile.adopt(c, local, p.pulls.where("reason <> 'delete'"))
     return cat.put(c, dels.unionByName(copies).unionByName(won))
+
+
+def daily_retention(events: DataFrame, archive: DataFrame, days: int, archive_days: int, now_s: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a daily job keeps of the event log and of the archive, and how many events it takes away. Open warnings stay."""
+    kept = ev.auto_archive(events, days, now_s)
+    gone = ev.archive_preview(events, (days if days > 0 else ev.DEFAULT_DAYS) * ev.DAY, False, now_s).select("deleted", "kept_open")
+    return kept, retention.prune_age(archive, archive_days, now_s), gone

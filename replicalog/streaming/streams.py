@@ -12,12 +12,13 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.paths import is_reserved
 from ..operators import catalog as cat
 from ..operators import diff, reconcile
-from ..operators.events import CONDITION, Filter, count_open, page_worthy
+from ..operators.events import CONDITION, Filter, auto_archive, count_open, page_worthy
 
 DEBOUNCE = "250 milliseconds"
 COOLDOWN_S = 900
@@ -129,23 +130,36 @@ class Versions:
         df.write.mode("overwrite").parquet(f"{self.root}/v={batch}")
 
 
+def latest_rows(batch: DataFrame) -> DataFrame:
+    """Of message rows (with is_update) of one batch: the row of the largest sequence of every name. A full message
+    lists all of its folder, so updates of no larger sequence than its own that it does not hold are out of date."""
+    top = batch.where(~F.col("is_update")).groupBy("folder", "replica").agg(F.max("sequence").alias("__top"))
+    rows = batch.join(top, ["folder", "replica"], "left").where("__top IS NULL OR NOT is_update OR sequence > __top").drop("__top")
+    w = W.partitionBy(*cat.KEY).orderBy(F.desc("sequence"), F.desc("is_update"))
+    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
 def maintain_catalog(table: Versions, schema: Any) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over message rows (with is_update): full batches replace a folder's view, updates go in by name."""
 
     def put(batch: DataFrame, number: int) -> None:
         view = table.latest(schema, before=number)
-        full, update = (batch.where(f"is_update = {x}").drop("is_update").select(view.columns) for x in ("false", "true"))
-        view = reconcile.apply_index_batch(view, full, update=False)
-        table.write(reconcile.apply_index_batch(view, update.dropDuplicates(cat.KEY), update=True), number)
+        replaced = batch.where(~F.col("is_update")).select("folder", "replica").distinct()
+        rows = latest_rows(batch).select(view.columns)
+        table.write(reconcile.apply_index_batch(view.join(replaced, ["folder", "replica"], "left_anti"), rows, update=True), number)
 
     return put
 
 
-def scan_diff_stream(table: Versions, schema: Any, device: str, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over listing snapshots: each is held against the catalog of the moment."""
+def scan_diff_stream(
+    table: Versions, schema: Any, device: str, sink: Callable[[DataFrame, int], None], rules: DataFrame | None = None, incomplete: Callable[[int], DataFrame] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over listing snapshots: each is held against the catalog of the moment. ``rules`` are those of
+    ``compile_rules``; ``incomplete`` names, for a batch, the folders whose listing failed."""
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(diff.scan_diff(batch, table.latest(schema).where(F.col("replica") == device)), number)
+        failed = incomplete(number) if incomplete else None
+        sink(diff.scan_diff(batch, table.latest(schema).where(F.col("replica") == device), rules, failed), number)
 
     return run
 
@@ -167,3 +181,12 @@ def alert_sink(post: Callable[[str, str, str], None]) -> Callable[[DataFrame, in
         batch.select("title", "message", "tags").foreach(lambda r: post(r["title"], r["message"], r["tags"]))
 
     return run
+
+
+def retention_stream(store: Versions, schema: Any, days: int, now_s: Callable[[], int]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch of a daily availableNow job over new events: the log with them, less what its age takes away."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        store.write(auto_archive(store.latest(schema, before=number).unionByName(batch), days, now_s()), number)
+
+    return run

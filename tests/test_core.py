@@ -11,9 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from replicalog.functions import content, paths, rules, vectors
-from replicalog.operators import blocks, catalog, diff, events, guards, reconcile, retention, status
+from replicalog.operators import blocks, catalog, diff, events, guards, reconcile, resolve, retention, status
 from replicalog.plans import sync
 from replicalog.sources import declarations, listing, messages
+from replicalog.streaming import streams
 
 CATALOG = (
     "folder string, replica string, name string, size long, modified_s long, modified_ns int, mode int, type int, deleted boolean, invalid boolean, "
@@ -323,6 +324,64 @@ def test_messages_and_listing(spark, tmp_path):
     assert listing.hash_ranges(listing.block_ranges(big)).first().hash == h.hex()
 
 
+def test_listing_is_complete(spark, tmp_path, monkeypatch):
+    """Empty files, empty directories, links and large files: a scan of what a catalog holds finds no change."""
+    root = tmp_path / "root"
+    (root / "emptydir").mkdir(parents=True)
+    (root / "d/e f").mkdir(parents=True)
+    (root / "empty.txt").write_bytes(b"")
+    (root / "d/e f/100% ü.bin").write_bytes(b"x" * 5000)
+    (root / "link").symlink_to(root / "d")
+    (root / "broken").symlink_to("nowhere")
+    monkeypatch.setattr(listing, "MOST_BYTES", 1000)
+    seen = listing.read_listing(spark, f"file://{root}", "f")
+    rows = {r.name: r for r in seen.collect()}
+    assert {n: (r.type, r.size) for n, r in rows.items()} == {"emptydir": (1, 0), "d": (1, 0), "d/e f": (1, 0), "empty.txt": (0, 0), "d/e f/100% ü.bin": (0, 5000), "link": (2, 0), "broken": (2, 0)}
+    assert rows["empty.txt"].mode == (root / "empty.txt").stat().st_mode & 0o7777 and rows["empty.txt"].modified_s == (root / "empty.txt").stat().st_mtime_ns // 10**9
+    nothing = spark.createDataFrame([], CATALOG)
+    changes, after = sync.scan(seen, listing.read_content(spark, str(root), seen), nothing, None, "1")
+    assert {r.name: r.kind for r in changes.collect()} == {n: "added" for n in rows} and after.count() == 7
+    assert diff.scan_diff(listing.read_listing(spark, str(root), "f"), after).count() == 0
+
+
+def test_restores_and_resolutions(spark, table):
+    copy = "a.sync-conflict-20260818-080000-1.txt"
+    c = table(row("1", "a.txt", {"1": 1}), row("1", copy, {"1": 1}), row("1", "b", {"1": 4}, deleted=True), row("1", "gone", {"1": 1}), row("2", "gone", {"1": 1, "2": 1}, deleted=True))
+    gone, actions, n = resolve.resolve_all_conflicts(c, "1", 50)
+    assert [(r.name, r.deleted, r.version) for r in gone.collect()] == [(copy, True, {"1": 2})] and n.first().resolved == 1
+    assert {(r.kind, r.path, r.category) for r in actions.collect()} == {("resolve", "a.txt", "conflict"), ("resolve", copy, "conflict")}
+    what = "folder string, path string, source string, from_copy boolean, size long, modified_s long, modified_ns int, mode int, block_size int, blocks array<string>"
+    chosen = spark.createDataFrame([("f", "a.txt", copy, True, 7, 9, 0, 0, 131072, ["h"]), ("f", "b", "b/17", False, 3, 8, 0, 0, 131072, ["k"]), ("f", "../x", "x", False, 3, 8, 0, 0, 131072, ["k"])], what)
+    back, rows, actions = resolve.restore_entries(c, chosen, "1", 60)
+    assert {(r.name, r.deleted, r.version["1"]) for r in back.collect()} == {("a.txt", False, 2), ("b", False, 5), (copy, True, 2)}
+    assert {(r.path, r.reason) for r in rows.collect()} == {("a.txt", f"restored from conflict copy {copy}"), ("b", "restored from archived version b/17")} and actions.count() == 2
+    dead, rows, clear = resolve.apply_pending_deletions(c, "1", "f", 70)
+    assert [(r.name, r.deleted) for r in dead.collect()] == [("gone", True)] and rows.first().reason == "deleted (remote)" and clear.first().category == "error"
+
+
+def test_peers_by_id_or_name(spark):
+    peers = spark.createDataFrame([("11535086261826064642", "NAS"), ("7", "Attic")], "peer string, name string")
+    refs = spark.createDataFrame([("nas",), ("7",), ("0",), ("8",), ("Home",), ("5",), ("attic ",)], "ref string")
+    got = {r.ref: (r.peer, r.is_self) for r in status.resolve_peers(refs, peers, "5", "home").collect()}
+    assert got == {"nas": ("11535086261826064642", False), "7": ("7", False), "0": (None, False), "8": (None, False), "Home": (None, True), "5": (None, True), "attic ": (None, False)}
+
+
+def test_offline_reasons(spark):
+    c = lambda text: one(spark, events.offline_reason("e"), e=(text, "string")).c0
+    assert c("remote: Certificate does not VERIFY").startswith("TLS fingerprint mismatch") and c("tls: bad record").startswith("TLS handshake failed") and c("no Route") == "no Route"
+
+
+def test_problem_text_is_cut_by_bytes(spark):
+    got = one(spark, paths.problem("n"), n=("é" * 100, "string")).c0
+    assert got == "cannot apply: " + "é" * 70
+
+
+def test_latest_rows_of_a_batch(spark):
+    rows = [("f", "2", "a", 1, True), ("f", "2", "a", 3, True), ("f", "2", "a", 2, True), ("g", "2", "x", 5, False), ("g", "2", "old", 4, True), ("g", "2", "new", 6, True), ("g", "2", "x", 7, True)]
+    got = streams.latest_rows(spark.createDataFrame(rows, "folder string, replica string, name string, sequence long, is_update boolean"))
+    assert {(r.name, r.sequence) for r in got.collect()} == {("a", 3), ("x", 7), ("new", 6)}
+
+
 def test_scan_hashes_files_too_large_for_one_value(spark, tmp_path, monkeypatch):
     data = random.Random(3).randbytes(300_000)
     (tmp_path / "root/a b").mkdir(parents=True)
