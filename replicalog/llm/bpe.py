@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ from .common import text_of
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEPT_WORDS = 80_000
 KEPT_PAIRS = 100_000
+#: Texts whose ids are held at once.
+BATCH = 128
 
 
 def byte_letters() -> dict[str, int]:
@@ -238,10 +242,12 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            pairs = [c.text(t) for t in b.column(1).to_pylist()]
-            ids = [[int(i) for i in joined.split(",")] if joined else [] for joined, _ in pairs]
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in pairs], pa.string())], ["doc_id", "ids", "decoded"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                b = whole.slice(start, BATCH)
+                pairs = [c.text(t) for t in b.column(1).to_pylist()]
+                ids = [[int(i) for i in joined.split(",")] if joined else [] for joined, _ in pairs]
+                yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in pairs], pa.string())], ["doc_id", "ids", "decoded"])
         c.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
@@ -255,17 +261,22 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for b in batches:
-            n, ids, decoded, lists = [], [], [], []
-            for t in b.column(1):
-                joined, data = c.text(t.as_py())
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids.append(digest(joined.encode()))
-                decoded.append(digest(data.encode()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                b = whole.slice(start, BATCH)
+                n, ids, decoded, values = [], [], [], array("i")
+                for t in b.column(1):
+                    joined, data = c.text(t.as_py())
+                    n.append(joined.count(",") + 1 if joined else 0)
+                    ids.append(digest(joined.encode()))
+                    decoded.append(digest(data.encode()))
+                    if with_ids and joined:
+                        values.extend(map(int, joined.split(",")))
+                columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
                 if with_ids:
-                    lists.append([int(i) for i in joined.split(",")] if joined else [])
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
-            yield pa.record_batch(columns + [pa.array(lists, pa.list_(pa.int32()))] * with_ids, names)
+                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(values, np.int32) if values else np.zeros(0, np.int32))))
+                yield pa.record_batch(columns, names)
         c.rest()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

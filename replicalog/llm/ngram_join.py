@@ -51,7 +51,7 @@ WORDS = 5
 PERCENT = 80
 SLICE = 400_000
 #: Shingles that a task gathers before it sorts them.
-GATHER = 2_000_000
+GATHER = 1_000_000
 #: Ids that are broadcast at most; beyond it the texts are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Shingles of a bucket in which all documents' shingles of a range of hashes meet.
