@@ -12,7 +12,7 @@ Tasks read Arrow batches; each worker loads the vocabulary once. A text whose wh
 never stands twice in a row is cut at its spaces, as the word pattern cuts there too, and
 encodings of the pieces are kept: at most twice ``KEPT_WORDS``, the older half going first. A piece that decodes to
 itself is kept with its ids alone, so that a worker's pieces and pairs stay
-below about 50 MB; between tasks it keeps one half of the pieces.
+below about 120 MB; between tasks it keeps one half of the pieces.
 
 Defined cases: null text is empty; empty text has no ids; special tokens' strings in a text
 become their ids, as the library does; rows are handled one by one, so repeated rows give
@@ -36,7 +36,7 @@ from .common import text_of
 
 #: Fixed value: the byte-level tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_WORDS = 80_000
+KEPT_WORDS = 250_000
 KEPT_PAIRS = 100_000
 #: Texts whose ids are held at once.
 BATCH = 128
