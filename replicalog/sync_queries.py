@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import content, paths, rules, vectors
-from .operators import blocks, catalog, diff, guards, reconcile, retention, status
+from .operators import blocks, catalog, diff, guards, reconcile, resolve, retention, status
 
 LOCAL, PEER = "1", "2"
 RULES = ["fr/", "*.html", "!en/25", "*_cache"]
@@ -271,3 +271,84 @@ def archive_paths(spark, sf_dir):
     d = fx.archive(spark, sf_dir)
     d = d.withColumn("archive_path", paths.archive_path("strategy", "path", "modified_s", F.lit(7)))
     return d.select(F.col("stamp").alias("doc_id"), "archive_path", paths.archived_original("strategy", "archive_path").alias("path"))
+
+
+@query(_CATALOG + " SELECT folder, replica, count(*) FILTER (NOT deleted) AS live, count(*) FILTER (deleted) AS tombstones FROM c GROUP BY folder, replica")
+def live_counts(spark, sf_dir):
+    return catalog.live_counts(fx.catalog(spark, sf_dir))
+
+
+@query(_CATALOG + " SELECT folder, replica, name, seq AS sequence, deleted FROM c WHERE seq > 300")
+def list_after(spark, sf_dir):
+    return catalog.list_after(fx.catalog(spark, sf_dir), 300).select("folder", "replica", "name", "sequence", "deleted")
+
+
+@query(
+    "SELECT 'folder' || CAST(o_orderkey % 3 AS VARCHAR) AS folder, 'o' || CAST(o_orderkey AS VARCHAR) AS name, CAST(10 + row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY 'o' || CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS sequence FROM orders"
+)
+def numbered_entries(spark, sf_dir):
+    """Sequence numbers of new entries, one for each order, after ten in every folder."""
+    d = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    folder, name = F.concat(F.lit("folder"), F.col("o_orderkey") % 3), F.concat(F.lit("o"), "o_orderkey")
+    d = d.select(folder.alias("folder"), F.lit(LOCAL).alias("replica"), name.alias("name"), F.lit(None).cast("long").alias("sequence"))
+    last = d.select("folder", "replica").distinct().withColumn("max_sequence", F.lit(10).cast("long"))
+    return catalog.numbered(d, last).select("folder", "name", "sequence")
+
+
+@query(_WINNERS + "SELECT folder, name AS path, 'applied' AS category, CASE WHEN reason = 'delete' THEN 'deleted (remote)' ELSE 'pulled from peer' END AS reason, '2' AS peer_id FROM n WHERE reason IS NOT NULL")
+def pull_events(spark, sf_dir):
+    pulls = reconcile.need_pulls(fx.catalog(spark, sf_dir), LOCAL)
+    return resolve.pull_events(pulls, PEER, 1700000000).select("folder", "path", "category", "reason", "peer_id")
+
+
+@query(
+    _CATALOG
+    + """, l AS (SELECT * FROM c WHERE replica = '1'), p AS (SELECT * FROM c WHERE replica = '2' AND NOT deleted),
+    k AS (SELECT coalesce(l.folder, p.folder) AS folder, coalesce(l.name, p.name) AS path, CASE WHEN p.name IS NULL THEN CASE WHEN NOT l.deleted THEN 'local delete' END WHEN l.name IS NULL THEN 'local add'
+          WHEN l.deleted OR l.size <> p.size OR l.modified_s <> p.modified_s THEN 'local modify' END AS reason FROM l FULL JOIN p ON l.folder = p.folder AND l.name = p.name)
+    SELECT folder, path, 'applied' AS category, reason FROM k WHERE reason IS NOT NULL"""
+)
+def change_events(spark, sf_dir):
+    changes = diff.scan_diff(fx.listing(spark, sf_dir), fx.catalog(spark, sf_dir).where("replica = '1'"))
+    return resolve.change_events(changes, 1700000000).select("folder", "path", "category", "reason")
+
+
+_COPIES = ", cc AS (SELECT folder, replace(name, '.txt', '') || '.sync-conflict-20260818-080000-1.txt' AS copy, name, size, modified_s, v1, v2 FROM c WHERE replica = '1' AND NOT deleted AND seq % 25 = 3)"
+
+
+def _with_copies(spark, sf_dir):
+    """The catalog with conflict copies of every 25th document."""
+    c = fx.catalog(spark, sf_dir)
+    copies = c.where("replica = '1' AND NOT deleted AND sequence % 25 = 3").withColumn("name", F.concat(F.regexp_replace("name", r"\.txt$", ""), F.lit(".sync-conflict-20260818-080000-1.txt")))
+    return c.unionByName(copies)
+
+
+@query(_CATALOG + _COPIES + " SELECT folder, copy AS name, size, modified_s, 'file' AS type FROM cc")
+def conflict_copies_listed(spark, sf_dir):
+    return catalog.conflicts(_with_copies(spark, sf_dir), LOCAL)
+
+
+@query(_CATALOG + _COPIES + ", a AS (SELECT folder, size, deleted, false AS copied FROM c WHERE replica = '1' UNION ALL SELECT folder, size, false, true FROM cc) SELECT folder, count(*) AS entries, count(*) FILTER (copied) AS conflicts, CAST(coalesce(sum(size) FILTER (copied), 0) AS BIGINT) AS conflict_bytes FROM a GROUP BY folder")
+def conflict_stats(spark, sf_dir):
+    d = catalog.catalog_stats(_with_copies(spark, sf_dir)).where("replica = '1'")
+    return d.select("folder", "entries", "conflicts", "conflict_bytes")
+
+
+@query(_CATALOG + _COPIES + " SELECT folder, copy AS name, true AS deleted, '1:' || CAST(v1 + 1 AS VARCHAR) || '|' || CASE WHEN v2 > 0 THEN '2:' || CAST(v2 AS VARCHAR) || '|' ELSE '' END AS canon FROM cc")
+def resolved_conflicts(spark, sf_dir):
+    """All conflict copies go; the current files stay."""
+    gone = resolve.resolve_all_conflicts(_with_copies(spark, sf_dir), LOCAL, 1700000000)[0]
+    return gone.select("folder", "name", "deleted", vectors.canonical("version").alias("canon"))
+
+
+@query(_CATALOG + _COPIES + " SELECT folder, copy AS path, 'resolve' AS kind, 'conflict' AS category FROM cc UNION ALL SELECT folder, name, 'resolve', 'conflict' FROM cc")
+def conflict_settlements(spark, sf_dir):
+    actions = resolve.resolve_all_conflicts(_with_copies(spark, sf_dir), LOCAL, 1700000000)[1]
+    return actions.select("folder", "path", "kind", "category")
+
+
+@query(_WINNERS + "SELECT folder, name, true AS deleted, '1:2|' AS canon FROM n WHERE reason = 'delete' AND folder = 'folder3'")
+def applied_deletions(spark, sf_dir):
+    """Held-back deletions of one folder let through."""
+    d = resolve.apply_pending_deletions(fx.catalog(spark, sf_dir), LOCAL, "folder3", 1700000000)[0]
+    return d.select("folder", "name", "deleted", vectors.canonical("version").alias("canon"))
