@@ -10,9 +10,9 @@ Decoding: token ids point into one byte string through a table of offsets.
 
 Tasks read Arrow batches; each worker loads the vocabulary once. A text whose white space
 never stands twice in a row is cut at its spaces, as the word pattern cuts there too, and
-encodings of the pieces are kept: at most twice ``KEPT_WORDS``, the older half going first. A piece that decodes to
-itself is kept with its ids alone, so that a worker's pieces and pairs stay
-below about 120 MB; between tasks it keeps one half of the pieces.
+encodings of the pieces are kept: at most twice ``kept``, the older half going first. A piece that decodes to
+itself is kept with its ids alone, so that with ``KEPT_WORDS`` a worker's pieces and pairs stay
+below about 120 MB; between tasks it keeps one half of the pieces. ``kept`` trades speed for memory and changes no result.
 
 Defined cases: null text is empty; empty text has no ids; special tokens' strings in a text
 become their ids, as the library does; rows are handled one by one, so repeated rows give
@@ -53,7 +53,7 @@ def byte_letters() -> dict[str, int]:
 class Codec:
     """A vocabulary with its merges, for one worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         import ahocorasick
         import regex
 
@@ -89,7 +89,7 @@ class Codec:
         self.bytes = b"".join(parts)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.prefix: dict[str, str | None] = {}
-        self.kept: tuple[dict, dict] = ({}, {})
+        self.most, self.kept = kept, ({}, {})
 
     def may_follow(self, a: str, b: str) -> bool:
         """Whether the merges leave a border between a and b."""
@@ -183,7 +183,7 @@ class Codec:
             else:
                 decoded = decoded[1:]
             found = joined if decoded == piece else (joined, decoded)
-        if len(young) >= KEPT_WORDS:
+        if len(young) >= self.most:
             self.kept = (young, _) = ({}, young)
         young[piece] = found
         return found
@@ -225,9 +225,9 @@ class Codec:
         return [i for w in self.words.findall(text) for i in self.encoded(w)]
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+@lru_cache(maxsize=1)
+def codec(path: str, kept: int = KEPT_WORDS) -> Codec:
+    return Codec(path, kept)
 
 
 def default_path() -> str:
@@ -253,14 +253,14 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, kept: int = KEPT_WORDS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, a row per row of ``docs``; texts stay in the task, and so do ids
     unless they are asked for."""
     path = path or default_path()
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, kept)
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 b = whole.slice(start, BATCH)
