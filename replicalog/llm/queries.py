@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, license_scan, line_dedup, ngram_join, oracles, pii, quality_classifier, quality_rules, toxicity, url_filter
+from . import alignment, bpe, conversations, decontaminate, license_scan, line_dedup, ngram_join, oracles, pii, quality_classifier, quality_rules, sharding, toxicity, url_filter
 from .common import table
 
 
@@ -48,10 +48,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op5_quality_classifier, op6_ngram_jaccard_join, op7_bpe, op8_toxicity, op9_pii, op10_license_scan
+        op1_decontamination, op2_quality_rules, op3_url_filters, op4_line_dedup, op5_quality_classifier, op6_ngram_jaccard_join, op7_bpe, op8_toxicity, op9_pii, op10_license_scan,
+        op11_sharding, op12_alignment, op13_conversations,
     )
 }
 ORACLES = oracles.ORACLES
