@@ -17,10 +17,12 @@ def scan_diff(listing: DataFrame, catalog: DataFrame, rules: DataFrame | None =
     ``catalog`` is one replica's. Kinds: added, modified, deleted, skipped; unchanged entries are left out. A file is
     unchanged if size and time are; a directory or link is only ever added. What lies below an ignored directory is as
     good as not there: live entries of it are deleted. ``incomplete`` names folders whose listing failed: there nothing
-    is deleted.
+    is deleted. A listing that a walk has marked by the rules already (ignored, rule) is taken at its word.
     """
     seen = listing.where(~is_reserved("name"))
-    if rules is not None:
+    if "ignored" in listing.columns:
+        pass
+    elif rules is not None:
         seen = with_rules(seen, rules).where(~F.col("pruned")).drop("pruned")
     else:
         seen = seen.withColumns({"ignored": F.lit(False), "rule": F.lit(None).cast("string")})
@@ -48,7 +50,8 @@ def hashed(changes: DataFrame, contents: DataFrame) -> DataFrame:
     """Adds block_size and blocks to added and modified files; one that is gone by now is no change any more.
 
     ``contents``: folder, name, content, and path where the content is null because the file is too large for one
-    value: such files are hashed block by block. Only files that need it are read, as the join decides which.
+    value: such files are hashed block by block. This is for contents at hand, or in a store that only Spark reads: all of
+    ``contents`` is read. ``sources.changed.hash_changed`` opens the changed files alone.
     """
     needs = changes.where("kind IN ('added', 'modified') AND now.type = 0")
     rest = changes.where("NOT (kind IN ('added', 'modified') AND now.type = 0)").withColumns({"block_size": F.lit(0), "blocks": F.array().cast("array<string>")})

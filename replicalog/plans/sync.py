@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
 from ..operators import diff, guards, reconcile, retention
 from ..operators import events as ev
+from ..sources.changed import hash_changed
+from ..sources.walk import walk
 
 
 @dataclass(frozen=True)
@@ -21,13 +23,32 @@ class Plan:
     overwrites: DataFrame
 
 
-def scan(listing: DataFrame, contents: DataFrame, catalog: DataFrame, rules: DataFrame | None, device: str) -> tuple[DataFrame, DataFrame]:
-    """The changes, and the catalog after them."""
+@dataclass(frozen=True)
+class Scan:
+    """``changes`` with hashes, the ``catalog`` after them, and ``errors`` (folder, name, error): what could not be read."""
+
+    changes: DataFrame
+    catalog: DataFrame
+    errors: DataFrame
+
+
+def scan(listing: DataFrame, contents: DataFrame, catalog: DataFrame, rules: DataFrame | None, device: str, incomplete: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The changes, and the catalog after them, from a listing and contents at hand. Nothing is deleted in ``incomplete``
+    folders."""
     own = catalog.where(F.col("replica") == device)
-    changes = diff.hashed(diff.scan_diff(listing, own, rules), contents)
+    changes = diff.hashed(diff.scan_diff(listing, own, rules, incomplete), contents)
     return changes, cat.put(catalog, diff.apply_local_changes(catalog, changes, device))
 
 
+def scan_folder(spark: SparkSession, root: str, folder: str, catalog: DataFrame, rules: DataFrame | None, device: str) -> Scan:
+    """A whole scan of one folder: a walk that enters no ignored directory, and reads of the changed files alone. What
+    could not be walked keeps its catalog entries, and so does a file that could not be read."""
+    found = walk(spark, root, folder, rules)
+    own = catalog.where((F.col("replica") == device) & (F.col("folder") == folder))
+    changes, unread = hash_changed(diff.scan_diff(found.entries, own, incomplete=found.incomplete()), root)
+    return Scan(changes, cat.put(catalog, diff.apply_local_changes(catalog, changes, device)), found.errors.unionByName(unread))
+
+
 def plan(catalog: DataFrame, folders: DataFrame, markers: DataFrame, local: str, peer: str) -> Plan:
     """Moves first; then what is still to be pulled, without deletions that the guard holds back."""
     pair = catalog.where(F.col("replica").isin(local, peer))

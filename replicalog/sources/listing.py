@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content
 from ..functions.paths import archived_original, is_reserved
-from ..storage import checkpointed
+from .walk import walk
 
 #: Larger files are hashed in ranges, not as one value.
 MOST_BYTES = 1 << 30
@@ -27,71 +26,19 @@ def _relative(root: str):
     return F.expr("substring(path, locate('{0}', path) + {1})".format((bare + "/").replace("'", "\\'"), len(bare) + 1))
 
 
-ENTRY = "name string, type int, size long, modified_s long, modified_ns int, mode int"
-
-
-def _children(at: str) -> list[tuple]:
-    """ENTRY of what lies in one directory, names being whole paths. Links are not followed. One that is gone is empty."""
-    import os
-    import stat
-
-    if at.startswith("/"):
-        rows = []
-        try:
-            with os.scandir(at) as found:
-                for e in found:
-                    x = e.stat(follow_symlinks=False)
-                    kind = 2 if stat.S_ISLNK(x.st_mode) else 1 if stat.S_ISDIR(x.st_mode) else 0
-                    time = x.st_mtime_ns if kind == 0 else 0
-                    rows.append((e.path, kind, x.st_size if kind == 0 else 0, time // 10**9, time % 10**9, stat.S_IMODE(x.st_mode)))
-        except FileNotFoundError:
-            pass
-        return rows
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(at.replace("s3a://", "s3://", 1))
-    scheme = at.split("://")[0]
-    rows = []
-    for e in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
-        file = e.type == fs.FileType.File
-        time = e.mtime_ns or 0 if file else 0
-        rows.append((f"{scheme}://{e.path}" if not e.path.startswith("/") else f"{at[: len(at) - len(path)]}{e.path}", 0 if file else 1, e.size or 0 if file else 0, time // 10**9, time % 10**9, None))
-    return rows
-
-
-def read_listing(spark: SparkSession, root: str, folder: str) -> DataFrame:
-    """folder, name, type, size, modified_s, modified_ns, mode of all files, directories and links below a root, empty
-    ones too. Contents are not read.
-
-    Directories are listed by tasks, level by level, through the local file system or the one that pyarrow finds for
-    the root; a store that pyarrow does not know is an error, as an incomplete listing would read as deletions. Times of
-    directories and links are left out; modes and links are known of local file systems only.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [r for at in b.column(0).to_pylist() for r in _children(at)]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
-
-    names = [c.split()[0] for c in ENTRY.split(", ")]
-    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    schema = pa.schema(list(zip(names, kinds, strict=True)))
-    bare = root.removeprefix("file://") if root.startswith("file://") else root.removeprefix("file:")
-    bare = bare.rstrip("/") or "/"
-    level, found = spark.createDataFrame([(bare,)], "name string"), []
-    while True:
-        here = checkpointed(level.select("name").repartition(F.col("name")).mapInArrow(run, ENTRY))
-        found.append(here)
-        level = here.where("type = 1")
-        if level.isEmpty():
-            break
-    d = reduce(DataFrame.unionByName, found)
-    return d.select(F.lit(folder).alias("folder"), F.substring("name", len(bare.rstrip("/")) + 2, 1 << 30).alias("name"), *names[1:])
+def read_listing(spark: SparkSession, root: str, folder: str, reserved: bool = False) -> DataFrame:
+    """folder, name, type, size, modified_s, modified_ns, mode of all that ``walk`` finds below a root; a walk that could not
+    read everything is an error here, as a listing without its errors would read as deletions."""
+    found = walk(spark, root, folder, reserved=reserved)
+    first = found.errors.first()
+    if first:
+        raise OSError(f"the listing of {root} is incomplete: {first['name'] or 'the root'}: {first['error']}")
+    return found.entries.drop("ignored", "rule")
 
 
 def read_content(spark: SparkSession, root: str, listing: DataFrame) -> DataFrame:
-    """folder, name, content, path of the listed files; one that is gone or empty is left out. Only their contents are
-    decoded.
+    """folder, name, content, path of the listed files; one that is gone or empty is left out. All contents below the root
+    are read, whatever is listed: to hash what changed, ``changed.hash_changed`` reads no more than that.
 
     Files beyond MOST_BYTES have a null content and a path, by which ``hash_ranges`` reads them; others have no path.
     """
@@ -148,5 +95,5 @@ def read_archive(spark: SparkSession, root: str, folder: str, strategy: str) ->
 
 
 def stale_temporaries(listing: DataFrame, now_s: int, most_age_s: int) -> DataFrame:
-    """Reserved files that nobody has touched for so long."""
+    """Reserved files, of a listing that has them, which nobody has touched for so long."""
     return listing.where(is_reserved("name") & (F.col("type") == 0) & (F.col("modified_s") < now_s - most_age_s))
