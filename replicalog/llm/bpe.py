@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import let_go, text_of
 
 #: Fixed value: the byte-level tokenizer's word pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -253,9 +253,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("t")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, kept: int = KEPT_WORDS) -> DataFrame:
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, kept: int = KEPT_WORDS, resident: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, a row per row of ``docs``; texts stay in the task, and so do ids
-    unless they are asked for."""
+    unless they are asked for. If not ``resident``, a worker gives the vocabulary back when its task ends."""
     path = path or default_path()
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
@@ -278,6 +278,10 @@ def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False, ke
                     columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(values, np.int32) if values else np.zeros(0, np.int32))))
                 yield pa.record_batch(columns, names)
         c.rest()
+        if not resident:
+            del c
+            codec.cache_clear()
+        let_go()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]

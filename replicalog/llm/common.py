@@ -7,13 +7,28 @@ from pyspark.sql import functions as F
 
 from ..storage import checkpointed, released_after, stored
 
-__all__ = ["broadcast_if_small", "checkpointed", "released_after", "stored", "table", "text_of", "words_of"]
+__all__ = ["broadcast_if_small", "checkpointed", "let_go", "released_after", "stored", "table", "text_of", "words_of"]
 
 #: White space that separates words, as a Java character class and as characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
 
+def let_go() -> None:
+    """At a task's end: what Python and Arrow have freed goes back to the system, as workers live on beside the executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library: nothing to ask for
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, stored
+from .common import broadcast_if_small, checkpointed, let_go, stored
 from .graph import components
 
 WORDS = 5
@@ -152,6 +152,7 @@ def unshared(docs: DataFrame, buckets: int) -> DataFrame:
                     sets, ids, size, lots = [], [], 0, lots + 1
         if sets:
             yield from flush((part << 24) + lots)
+        let_go()
 
     def counted(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Of one bucket: how many of a document's shingles stand alone, for each lot."""

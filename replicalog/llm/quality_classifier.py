@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released_after, text_of
+from .common import let_go, released_after, text_of
 from .labelled import held_out, sample
 
 PER_CLASS = 1500
@@ -121,6 +121,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = b.slice(at, BLOCK)
                 got = np.full(part.num_rows, s) if isinstance(s, float) else s.scores(np.stack([terms(t.as_py()) for t in part.column(2)]))
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(got.astype(np.float64))], ["doc_id", "held_out", "score"])
+        let_go()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_of().alias("t"))
     d = d.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -139,5 +140,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 part = b.slice(start, BLOCK)
                 got = np.full(part.num_rows, s) if isinstance(s, float) else s.scores(np.stack([terms(t.as_py() or "") for t in part.column(at)]))
                 yield part.filter(pa.array(got >= 0.5))
+        let_go()
 
     return docs.mapInArrow(run, docs.schema)
