@@ -19,6 +19,7 @@ from ..functions.paths import is_reserved
 from ..operators import catalog as cat
 from ..operators import diff, reconcile
 from ..operators.events import CONDITION, Filter, auto_archive, count_open, page_worthy
+from ..sources.ranges import RangeTable
 
 DEBOUNCE = "250 milliseconds"
 COOLDOWN_S = 900
@@ -151,6 +152,16 @@ def maintain_catalog(table: Versions, schema: Any) -> Callable[[DataFrame, int],
     return put
 
 
+def upsert_catalog(table: RangeTable) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over message rows (with is_update), into a table of which only what the batch touches is written."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        replaced = batch.where(~F.col("is_update")).select("folder", "replica")
+        table.upsert(latest_rows(batch), number, replaced)
+
+    return put
+
+
 def scan_diff_stream(
     table: Versions, schema: Any, device: str, sink: Callable[[DataFrame, int], None], rules: DataFrame | None = None, incomplete: Callable[[int], DataFrame] | None = None
 ) -> Callable[[DataFrame, int], None]:
