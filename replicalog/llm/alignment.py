@@ -6,8 +6,8 @@ at one byte one is a suffix of the other, so the vocabularies bound how many pai
 whatever the corpus: that is the bound on what is broadcast.
 
 A worker cuts texts where one space stands between two characters that aren't white space. Both tokenizers start a token
-at such a space, hence the cut changes no token, and encodings of words can be kept: at most KEPT_WORDS of them, each of up to
-KEPT_CHARS characters. Long texts are cut there first, so that memory follows a segment and not the text.
+at such a space, hence the cut changes no token, and encodings of words can be kept: at most twice KEPT_WORDS of them, each of up
+to KEPT_CHARS characters, the older half going first. Long texts are cut there first, so that memory follows a segment and not the text.
 
 Defined cases: null and empty texts, and those whose tokens don't spell the text, have zeros and an empty digest; rows
 with a null doc_id are measured like others; equal texts and repeated rows are encoded once and counted each; other
@@ -20,18 +20,19 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import stored
+from .common import let_go, stored
 
-KEPT_WORDS = 100_000
+KEPT_WORDS = 150_000
 KEPT_CHARS = 48
 #: Characters of a segment, and texts of which measures are held at once.
 SEGMENT = 200_000
@@ -39,7 +40,8 @@ BATCH = 256
 #: One space between two characters that no definition calls white space.
 CUT = re.compile("(?<=[^\\s᠎]) (?=[^\\s᠎])")
 UNEVEN = re.compile("^ | $| [\\s᠎]|[\\s᠎] ")
-MEASURES = "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<struct<pair:long,links:int>>"
+MEASURES = "key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<int>"
+NO_TOKENS = (0, 0, "", b"")
 
 
 def default_paths() -> tuple[str, str]:
@@ -65,66 +67,106 @@ class Aligner:
         self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         piece = lambda i: bytes([int(self.b.id_to_piece(i)[1:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
         self.bytes_b = [piece(i) for i in range(self.b.get_piece_size())]
-        self.words: dict[str, tuple | None] = {}
+        self.n_b = len(self.bytes_b)
+        last_a = max(self.bytes_a) + 1
+        if last_a * self.n_b >= 1 << 31:
+            raise ValueError("vocabularies of so many pairs need longer numbers of pairs")
+        self.lengths_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(last_a)])
+        self.lengths_b = np.array([len(t) for t in self.bytes_b])
+        # Ids as text with what follows them: inside a group, at the end of its A half, at its end.
+        said = lambda sep: np.array([f"{i}{sep}" for i in range(max(last_a, self.n_b))], dtype=object)
+        self.comma, self.bar, self.semicolon = said(","), said("|"), said(";")
+        self.words: tuple[dict, dict] = ({}, {})
 
     def most_pairs(self) -> int:
         """Pairs of ids of which one's bytes are the other's last: no others can end together."""
         count_a, count_b = Counter(self.bytes_a.values()), Counter(self.bytes_b)
         return sum(n * count_b[t[k:]] for t, n in count_a.items() for k in range(len(t))) + sum(n * count_a[t[k:]] for t, n in count_b.items() for k in range(1, len(t)))
 
-    def aligned(self, word: str, a: list[int], b: list[int]) -> tuple[int, int, str, list[int]] | None:
-        """Tokens of each, groups as text, and the pair (A id * size of B + B id) that ends each group; None where the
-        tokens do not spell the word after a space."""
-        raw = b" " + word.encode()
-        of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))
-        groups, pairs, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-        while i < len(a) and j < len(b):
-            x, y = ends_a[i], ends_b[j]
-            if x == y:
-                groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                pairs.append(a[i] * len(self.bytes_b) + b[j])
-                from_i, from_j = i + 1, j + 1
-            i, j = i + (x <= y), j + (y <= x)
-        return len(a), len(b), ";".join(groups), pairs
-
-    def learn(self, words: set[str]) -> dict[str, tuple | None]:
-        """What is known of the words, with those not kept encoded in one call."""
-        new = [w for w in words if w not in self.words]
-        a = self.a.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False) if new else []
-        b = self.b.encode(new, num_threads=1) if new else []
-        if len(self.words) + len(new) > KEPT_WORDS:
-            old, self.words = self.words, {}
-            found = {w: old[w] for w in words if w in old}
-        else:
-            found = {w: self.words[w] for w in words if w in self.words}
-        for w, x, y in zip(new, a, b, strict=True):
-            found[w] = self.aligned(w, x.ids, y)
-            if len(w) <= KEPT_CHARS and len(self.words) < KEPT_WORDS:
-                self.words[w] = found[w]
+    def aligned(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple | None]:
+        """For each word its groups as text, the pairs (A id * n_b + B id) that end them as bytes of numbers, and the tokens of
+        each; None where the tokens do not spell the word after a space. Words stand one after another, so that their
+        ends are one row of numbers."""
+        flat_a, flat_b = [i for x in a for i in x], [i for x in b for i in x]
+        raw = b"".join([b" " + w.encode() for w in words])
+        if b"".join([self.bytes_a[i] for i in flat_a]) != raw or b"".join([self.bytes_b[i] for i in flat_b]) != raw:
+            if len(words) == 1:
+                return [None]
+            half = len(words) // 2
+            return self.aligned(words[:half], a[:half], b[:half]) + self.aligned(words[half:], a[half:], b[half:])
+        ids_a, ids_b = np.array(flat_a), np.array(flat_b)
+        ends_a, ends_b = np.cumsum(self.lengths_a[ids_a]), np.cumsum(self.lengths_b[ids_b])
+        cut_a, cut_b = np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
+        pairs = (ids_a[cut_a] * self.n_b + ids_b[cut_b]).astype(np.int32).tobytes()
+        # The tokens in order of their group, those of A first.
+        group = np.concatenate([np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b])
+        text = np.concatenate([np.where(cut_a, self.bar[ids_a], self.comma[ids_a]), np.where(cut_b, self.semicolon[ids_b], self.comma[ids_b])])
+        text = text[np.argsort(group, kind="stable")].tolist()
+        count_a, count_b = [len(x) for x in a], [len(x) for x in b]
+        tokens = list(accumulate(map(sum, zip(count_a, count_b, strict=True)), initial=0))
+        links = [0, *(np.cumsum(cut_a)[np.cumsum(count_a) - 1] * 4).tolist()]
+        return [("".join(text[tokens[k] : tokens[k + 1]])[:-1], pairs[links[k] : links[k + 1]], count_a[k], count_b[k]) for k in range(len(words))]
+
+    def learn(self, words: Iterable[str]) -> dict[str, tuple | None]:
+        """What is known of distinct words; those not kept are encoded in one call."""
+        young, old = self.words
+        found, new = {}, []
+        for w in words:
+            x = young.get(w, 0)
+            if x == 0:
+                x = old.get(w, 0)
+                if x == 0:
+                    new.append(w)
+                    continue
+                young[w] = x
+            found[w] = x
+        if new:
+            a, b = self.a.encode_batch_fast([f" {w}" for w in new], add_special_tokens=False), self.b.encode(new, num_threads=1)
+            for w, x in zip(new, self.aligned(new, [x.ids for x in a], b), strict=True):
+                found[w] = x
+                if len(w) <= KEPT_CHARS:
+                    young[w] = x
+        if len(young) >= KEPT_WORDS:
+            self.words = ({}, young)
         return found
 
-    def measure(self, text: str) -> tuple[int, int, int, str, Counter]:
-        """n_a, n_b, n_groups, groups_sha256 and the pairs with their links."""
-        n_a = n_b = 0
-        digest, links, first = hashlib.sha256(), Counter(), True
-        for segment in segments(text):
+    def measures(self, texts: list[str]) -> Iterator[tuple[int, int, str, bytes]]:
+        """n_a, n_b, groups_sha256 and the pairs of each text; texts go through together as far as SEGMENT characters."""
+        held, size = [], 0
+        for t in texts:
+            if len(t) > SEGMENT:
+                yield from self._together(held)
+                held, size = [], 0
+                yield self._long(t)
+                continue
+            held.append(CUT.split(t) if UNEVEN.search(t) else t.split(" "))
+            size += len(t)
+            if size > SEGMENT:
+                yield from self._together(held)
+                held, size = [], 0
+        yield from self._together(held)
+
+    def _together(self, texts: list[list[str]]) -> Iterator[tuple[int, int, str, bytes]]:
+        known = self.learn({w for words in texts for w in words})
+        for words in texts:
+            rows = [known[w] for w in words]
+            if None in rows:
+                yield NO_TOKENS
+                continue
+            yield sum([x[2] for x in rows]), sum([x[3] for x in rows]), hashlib.sha256(";".join([x[0] for x in rows]).encode()).hexdigest(), b"".join([x[1] for x in rows])
+
+    def _long(self, text: str) -> tuple[int, int, str, bytes]:
+        n_a, n_b, digest, pairs = 0, 0, hashlib.sha256(), []
+        for k, segment in enumerate(segments(text)):
             words = CUT.split(segment) if UNEVEN.search(segment) else segment.split(" ")
-            times = Counter(words)
-            known = self.learn(set(times))
+            known = self.learn(set(words))
             if None in known.values():
-                return 0, 0, 0, "", Counter()
-            for w, n in times.items():
-                a, b, _, pairs = known[w]
-                n_a, n_b = n_a + n * a, n_b + n * b
-                for p in pairs:
-                    links[p] += n
-            joined = ";".join([known[w][2] for w in words])
-            digest.update((joined if first else f";{joined}").encode())
-            first = False
-        return n_a, n_b, links.total(), digest.hexdigest(), links
+                return NO_TOKENS
+            rows = [known[w] for w in words]
+            n_a, n_b = n_a + sum([x[2] for x in rows]), n_b + sum([x[3] for x in rows])
+            digest.update((";" * (k > 0) + ";".join([x[0] for x in rows])).encode())
+            pairs.append(b"".join([x[1] for x in rows]))
+        return n_a, n_b, digest.hexdigest(), b"".join(pairs)
 
 
 def segments(text: str) -> Iterator[str]:
@@ -144,32 +186,30 @@ def aligner(byte_bpe: str, piece_bpe: str) -> Aligner:
 def distinct_measures(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """MEASURES of each distinct text that is not empty; key is its SHA-256, copies the rows that have it."""
     byte_bpe, piece_bpe = paths
-    names = [c.split()[0] for c in re.split(", (?=[a-z_0-9]+ )", MEASURES)]
-    pair = pa.struct([("pair", pa.int64()), ("links", pa.int32())])
-    schema = pa.schema(list(zip(names, [pa.binary(), *[pa.int64()] * 5, pa.string(), pa.list_(pair)], strict=True)))
+    names = [c.split()[0] for c in MEASURES.split(", ")]
+    schema = pa.schema(list(zip(names, [pa.binary(), *[pa.int64()] * 5, pa.string(), pa.list_(pa.int32())], strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(byte_bpe, piece_bpe)
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                rows = [own.measure(t) for t in b.column("text").to_pylist()]
-                links = [x[4] for x in rows]
-                ends = list(accumulate((len(x) for x in links), initial=0))
-                flat = pa.StructArray.from_arrays([pa.array([p for x in links for p in x], pa.int64()), pa.array([n for x in links for n in x.values()], pa.int32())], fields=list(pair))
-                n_links = [x[2] for x in rows]
-                columns = [b.column("key"), b.column("copies"), [x[0] for x in rows], [x[1] for x in rows], n_links, n_links, [x[3] for x in rows], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                rows = list(own.measures(b.column("text").to_pylist()))
+                n_links = [len(x[3]) // 4 for x in rows]
+                ends = pa.array(accumulate(n_links, initial=0), pa.int32())
+                flat = pa.array(np.frombuffer(b"".join([x[3] for x in rows]), np.int32))
+                columns = [b.column("key"), b.column("copies"), *(pa.array(x, pa.int64()) for x in ([x[0] for x in rows], [x[1] for x in rows], n_links, n_links)), pa.array([x[2] for x in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(ends, flat)], schema=schema)
+        let_go()
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").groupBy("text").agg(F.count("*").alias("copies"))
     return texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "copies", "text").mapInArrow(run, MEASURES)
 
 
-def pair_counts(measures: DataFrame) -> DataFrame:
-    """pair, count, best: links of each pair in the whole corpus, and whether no pair with its B id has more. ``measures``
-    has a column of_b, the number of B ids."""
-    seen = measures.select("copies", "of_b", F.explode("pairs").alias("x")).select("x.pair", (F.col("x.links") * F.col("copies")).alias("n"), "of_b")
-    counts = seen.groupBy("pair").agg(F.sum("n").alias("count"), F.first("of_b").alias("of_b")).withColumn("b", F.col("pair") % F.col("of_b"))
+def pair_counts(measures: DataFrame, n_b: int) -> DataFrame:
+    """pair, count, best: links of each pair in the whole corpus, and whether no pair with its B id has more."""
+    seen = measures.select("copies", F.explode("pairs").alias("pair"))
+    counts = seen.groupBy("pair").agg(F.sum("copies").alias("count")).withColumn("b", F.col("pair") % n_b)
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
     return counts.join(highest, "b").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
 
@@ -179,10 +219,10 @@ def align(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     paths = paths or default_paths()
     own = aligner(*paths)
     measures = stored(distinct_measures(docs, paths), "aligned-texts")
-    counts = stored(pair_counts(measures.withColumn("of_b", F.lit(len(own.bytes_b)))).coalesce(1), "pair-counts")
+    counts = stored(pair_counts(measures, own.n_b).coalesce(1), "pair-counts")
     # At most own.most_pairs() rows of 17 bytes, by the vocabularies alone.
-    each = measures.select("key", F.explode("pairs").alias("x")).select("key", "x.pair", "x.links").join(F.broadcast(counts), "pair")
-    scored = each.groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("n_best"), F.sum(F.col("links") * F.col("count")).alias("count_sum"))
+    each = measures.select("key", F.explode("pairs").alias("pair")).join(F.broadcast(counts), "pair")
+    scored = each.groupBy("key").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
     by_text = measures.drop("copies", "pairs").join(scored, "key", "left")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("string"), 256)).alias("key"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

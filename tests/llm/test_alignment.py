@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from replicalog.llm import alignment
@@ -68,11 +69,11 @@ def test_query_against_whole_texts(spark, own, monkeypatch):
 
 def test_short_segments_and_a_small_store_change_nothing(own, monkeypatch):
     texts = [*TEXTS, " ".join(TEXTS), "word " * 300]
-    whole = [own.measure(t) for t in texts]
+    whole = list(own.measures(texts))
     monkeypatch.setattr(alignment, "SEGMENT", 5)
     monkeypatch.setattr(alignment, "KEPT_WORDS", 3)
-    own.words.clear()
-    assert [own.measure(t) for t in texts] == whole
+    own.words = ({}, {})
+    assert list(own.measures(texts)) == whole
 
 
 def test_repeats_count_each_and_null_ids_pass(spark, own):
@@ -87,7 +88,7 @@ def test_repeats_count_each_and_null_ids_pass(spark, own):
 def test_vocabularies_bound_the_pairs(spark, own):
     assert 100_000 < own.most_pairs() < 600_000
     n = len(own.bytes_b)
-    for t in TEXTS:
-        for p in own.measure(t)[4]:
+    for *_, pairs in own.measures(TEXTS):
+        for p in np.frombuffer(pairs, np.int32).tolist():
             a, b = own.bytes_a[p // n], own.bytes_b[p % n]
             assert a.endswith(b) or b.endswith(a)
