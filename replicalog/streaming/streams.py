@@ -1,7 +1,7 @@
 """Streaming forms: debounced changes, event feeds, throttles with state, catalogs kept up to date.
 
-Every form gives, over the same rows, what its batch twin gives. State is kept per key and times out; late rows wait for
-the watermark. Sinks that replace data write whole new versions, so that a batch that runs twice does no harm.
+Every form gives, over the same rows, what its batch twin gives. State here is a row per condition that ever fired, per open
+problem, and per peer that is offline; ``timed`` has forms with timers, whose state ends. Late rows wait for the watermark. Sinks that replace data write whole new versions, so that a batch that runs twice does no harm.
 """
 
 from __future__ import annotations
@@ -100,7 +100,10 @@ def peer_state_stream(attempts: DataFrame) -> DataFrame:
                 change = "offline" if not failures or text != error else None
                 failures, error = failures + 1, text
                 rows.append((int(i), failures, min(5 * 2 ** (min(failures, 30) - 1), 300), change))
-        state.update((failures, error))
+        if failures:
+            state.update((failures, error))
+        elif state.exists:
+            state.remove()
         out = pd.DataFrame(rows, columns=["id", "failures", "wait_s", "change"])
         out.insert(0, "peer", key[0])
         yield out

@@ -1,0 +1,98 @@
+"""Streams with timers: what they give, and that their state ends."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from replicalog.operators import events
+from replicalog.streaming import streams, timed
+
+from .test_core import EVENT, event
+
+
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    timed.use_rocksdb(spark)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def fed(spark, tmp_path, schema, parts, form):
+    """Rows that a stream gives for parts that come one by one, and its rows of state at the end."""
+    source, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        q = form(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    return spark.read.parquet(out).collect(), q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_cooldown_state_ends(spark, tmp_path):
+    rng = random.Random(1)
+    rows = [event(i, 1000 + i * 40 + rng.randint(0, 30), path=f"p{rng.randint(0, 3)}") for i in range(60)]
+    end = [event(1000, 90_000, path="last"), event(1001, 200_000, path="last"), event(1002, 400_000, path="last", severity=0)]
+    got, state = fed(spark, tmp_path, EVENT, [rows[:20], rows[20:], end, [event(1003, 600_000, path="last", category="peer", reason="peer offline")]], lambda s: timed.cooled_alerts(s, 300))
+    want = events.throttle_alerts(spark.createDataFrame([*rows, *end, event(1003, 600_000, path="last", category="peer", reason="peer offline")], EVENT), 300)
+    assert {r.id for r in got} == {r.id for r in want.collect()}
+    # Of five conditions the last one's alone is still waiting.
+    assert state <= 2
+
+
+def test_batches_open_with_their_first_change(spark, tmp_path):
+    rng = random.Random(2)
+    rows = sorted((100_000_000 + rng.randint(0, 4_000_000), rng.choice("fg"), f"p{rng.randint(0, 9)}") for _ in range(80))
+    rows += [(100_000_500, "f", ".sfx-tmp/x"), (300_000_000, "f", "late"), (300_000_000, "g", "late")]
+    schema = "us long, folder string, path string"
+    stamped = lambda s: timed.debounced(s.select("folder", "path", F.timestamp_micros("us").alias("ts")), late="1 seconds", most=3)
+    got, state = fed(spark, tmp_path, schema, [rows[:40], rows[40:], [(500_000_000, "h", "x")], [(600_000_000, "h", "x")]], stamped)
+    want = []
+    for folder in "fgh":
+        own = sorted((t, p) for t, f, p in [*rows, (500_000_000, "h", "x")] if f == folder and not p.startswith(".sfx"))
+        while own:
+            first = own[0][0]
+            paths = {p for t, p in own if t < first + 250_000}
+            own = [x for x in own if x[0] >= first + 250_000]
+            want.append((folder, tuple(sorted(paths)) if len(paths) <= 3 else (), len(paths) > 3))
+    assert sorted((r.folder, tuple(r.paths), r.rescan) for r in got) == sorted(want)
+    assert any(r.rescan for r in got) and state <= 4
+
+
+def test_counts_follow_retractions(spark, tmp_path):
+    rng = random.Random(3)
+    rows, actions = [], []
+    for i in range(120):
+        rows.append(event(i, i * 10, path=f"p{rng.randint(0, 5)}", category=rng.choice(["error", "peer"]), folder=rng.choice("fg"), severity=rng.randint(0, 2), resolution=rng.choice([0, 0, 1, 2])))
+        if rng.random() < 0.7:
+            past = rng.choice(rows)
+            by_id = rng.random() < 0.5
+            kind = rng.choice(["acknowledge", "reopen", "resolve"] if by_id else ["acknowledge", "reopen", "resolve", "auto_resolve"])
+            actions.append((i, kind, past[0] if by_id else None, past[2], past[3], past[4], "x", i * 10 + 5))
+    e, a = spark.createDataFrame(rows, EVENT), spark.createDataFrame(actions, events.ACTION)
+    facts = timed.facts_of(e, a)
+    table = streams.Versions(spark, f"{tmp_path}/counts")
+    source = f"{tmp_path}/in"
+    for low, high in ((0, 300), (300, 900), (900, 10_000)):
+        facts.where((F.col("ts_s") >= low) & (F.col("ts_s") < high)).coalesce(1).write.mode("append").parquet(source)
+        q = timed.open_condition_changes(spark.readStream.schema(facts.schema).parquet(source)).writeStream.foreachBatch(timed.keep_counts(table)).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        now_e, now_a = e.where(F.col("ts_s") < high), a.where(F.col("ts_s") < high)
+        want = {r.folder: r.open_conditions for r in events.count_open(events.fold_state(now_e, now_a)).collect()}
+        assert {r.folder: r.open_conditions for r in table.latest("folder string, open_conditions long").collect() if r.open_conditions} == want
+
+
+def test_busy_sessions_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        t = rng.randint(10_000, 12_000)
+        rows.append((rng.choice("fg"), t, t + rng.choice([0, 1, 5, 40, 90])))
+    rows += [("f", 20_000, 20_010), ("f", 20_010, 20_020), ("f", 20_021, 20_021)]
+    schema = "folder string, s long, e long"
+    form = lambda x: timed.busy_sessions(x.select("folder", F.timestamp_seconds("s").alias("started"), F.timestamp_seconds("e").alias("finished")))
+    # Within a part, and between the first two, sessions come out of order.
+    got, _ = fed(spark, tmp_path, schema, [rows[:30], rows[30:], [("z", 90_000, 90_001)], [("z", 190_000, 190_001)]], form)
+    want = events.busy_intervals(spark.createDataFrame(rows, schema).selectExpr("folder", "s started", "e finished")).collect()
+    assert {(r.folder, int(r.started.timestamp()), int(r.finished.timestamp()), r.sessions) for r in got if r.folder != "z"} == {(r.folder, r.started, r.finished, r.sessions) for r in want}
