@@ -92,10 +92,19 @@ def plan_moves(spark, sf_dir):
     return reconcile.plan_moves(fx.catalog(spark, sf_dir), LOCAL, PEER)
 
 
-@query(_CATALOG + _GONE_NEW + "SELECT *, CAST(NULL AS VARCHAR) AS problem FROM moves")
+@query(
+    _CATALOG
+    + _GONE_NEW
+    + """SELECT folder, CASE size % 4 WHEN 0 THEN from_name || '.none' ELSE from_name END AS from_name, CASE size % 4 WHEN 1 THEN from_name WHEN 2 THEN to_name || '.none' ELSE to_name END AS to_name, size,
+    CASE size % 4 WHEN 0 THEN 'source gone' WHEN 1 THEN 'target exists' WHEN 2 THEN 'content differs' END AS problem FROM moves"""
+)
 def validate_moves(spark, sf_dir):
+    """Moves of which three in four must be refused, each for another reason."""
     c = fx.catalog(spark, sf_dir)
-    return reconcile.validate_moves(reconcile.plan_moves(c, LOCAL, PEER), c, LOCAL, PEER)
+    k, none = F.col("size") % 4, F.lit(".none")
+    moves = reconcile.plan_moves(c, LOCAL, PEER)
+    moves = moves.select("folder", F.when(k == 0, F.concat("from_name", none)).otherwise(F.col("from_name")).alias("from_name"), F.when(k == 1, F.col("from_name")).when(k == 2, F.concat("to_name", none)).otherwise(F.col("to_name")).alias("to_name"), "size")
+    return reconcile.validate_moves(moves, c, LOCAL, PEER)
 
 
 @query(_CATALOG + _GONE_NEW + "SELECT folder, from_name AS name, true AS deleted, '1:2|' AS canon FROM moves UNION ALL SELECT folder, to_name, false, '2:1|' FROM moves")
@@ -248,21 +257,30 @@ def archive_after_age(spark, sf_dir):
     return retention.archive_stats(retention.prune_age(fx.archive(spark, sf_dir), 1, 1700030000 + 86400 * 3 // 4))
 
 
+_UPLOADS = ", up AS (SELECT folder, name FROM x WHERE has_l AND NOT l_gone AND (NOT has_p OR p_gone OR l_later))"
+
+
 @query(
     _WINNERS
-    + """, up AS (SELECT folder, name FROM x WHERE has_l AND NOT l_gone AND (NOT has_p OR p_gone OR l_later)),
-    f AS (SELECT DISTINCT folder FROM c) SELECT folder, (SELECT count(*) FROM c WHERE replica = '1' AND c.folder = f.folder) AS entries, (SELECT count(*) FROM n WHERE n.folder = f.folder AND reason <> 'delete') AS pending,
-    (SELECT count(*) FROM n WHERE n.folder = f.folder AND reason = 'delete') AS pending_deletions, (SELECT count(*) FROM up WHERE up.folder = f.folder) AS uploads FROM f"""
+    + _UPLOADS
+    + ", "
+    + fx.for_duckdb(fx.EVENTS)
+    + """,
+    f AS (SELECT unnest(range(4)) AS k),
+    o AS (SELECT 'folder' || CAST(k AS VARCHAR) AS folder FROM f),
+    st AS (SELECT folder, count(*) AS entries, CAST(sum(size) AS BIGINT) AS size, count(*) FILTER (deleted) AS tombstones, count(*) FILTER (NOT deleted) AS live FROM c WHERE replica = '1' GROUP BY folder),
+    pl AS (SELECT folder, count(*) FILTER (reason <> 'delete') AS pending, CAST(sum(size) FILTER (reason <> 'delete') AS BIGINT) AS pending_bytes, count(*) FILTER (reason = 'delete') AS dels FROM n WHERE reason IS NOT NULL GROUP BY folder),
+    us AS (SELECT folder, count(*) AS uploads FROM up GROUP BY folder),
+    oc AS (SELECT folder, count(DISTINCT path || chr(0) || category) AS open_conditions FROM e WHERE resolution = 0 AND severity >= 1 GROUP BY folder),
+    ar AS (SELECT 'folder' || CAST(doc_id % 4 AS VARCHAR) AS folder, count(*) AS versions, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY 1)
+    SELECT o.folder, coalesce(entries, 0) AS entries, coalesce(st.size, 0) AS size, coalesce(tombstones, 0) AS tombstones, coalesce(live, 0) AS live_files, CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS conflict_bytes,
+        coalesce(pending, 0) AS pending, coalesce(pending_bytes, 0) AS pending_bytes, coalesce(dels, 0) AS pending_deletions, coalesce(uploads, 0) AS uploads, coalesce(open_conditions, 0) AS open_conditions,
+        coalesce(versions, 0) AS versions, coalesce(bytes, 0) AS bytes, coalesce(live, 0) > 0 AND coalesce(dels, 0) >= 100 AND coalesce(dels, 0) * 100 >= coalesce(live, 0) * 25 AS guard
+    FROM o LEFT JOIN st USING (folder) LEFT JOIN pl USING (folder) LEFT JOIN us USING (folder) LEFT JOIN oc USING (folder) LEFT JOIN ar USING (folder)"""
 )
 def folder_status(spark, sf_dir):
     events = fx.events(spark, sf_dir)
-    d = status.folder_status(fx.catalog(spark, sf_dir), LOCAL, fx.folders(spark), fx.peers(spark), events, retention.archive_stats(fx.archive(spark, sf_dir)))
-    return d.select("folder", "entries", "pending", "pending_deletions", "uploads")
-
-
-@query()
-def attention(spark, sf_dir):
-    return status.attention(fx.catalog(spark, sf_dir), fx.events(spark, sf_dir), LOCAL, fx.peers(spark))
+    return status.folder_status(fx.catalog(spark, sf_dir), LOCAL, fx.folders(spark), fx.peers(spark), events, retention.archive_stats(fx.archive(spark, sf_dir)))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source WHEN doc_id % 3 = 1 THEN source || '/' || CAST((1700000000 + doc_id * 60) * 1000000000 + 7 AS VARCHAR) ELSE source || '/' || strftime(make_timestamp(CAST(1700000000 + doc_id * 60 AS BIGINT) * 1000000), '%Y-%m-%d') || '/' || CAST((1700000000 + doc_id * 60) * 1000000000 + 7 AS VARCHAR) END AS archive_path, source AS path FROM documents")
@@ -352,3 +370,33 @@ def applied_deletions(spark, sf_dir):
     """Held-back deletions of one folder let through."""
     d = resolve.apply_pending_deletions(fx.catalog(spark, sf_dir), LOCAL, "folder3", 1700000000)[0]
     return d.select("folder", "name", "deleted", vectors.canonical("version").alias("canon"))
+
+
+#: Events of the log on the names of the documents, and the copies of some of these.
+_NAMED = ", " + fx.for_duckdb(fx.EVENTS) + ", en AS (SELECT e.id, c.folder, c.name AS path, category, severity, resolution, reason FROM e JOIN c ON c.replica = '1' AND 'p' || CAST(c.seq AS VARCHAR) = e.path)"
+
+
+def _named_events(spark, sf_dir):
+    names = fx.catalog(spark, sf_dir).where("replica = '1'").select(F.col("folder").alias("f"), "name", F.concat(F.lit("p"), F.col("sequence").cast("string")).alias("path"))
+    return fx.events(spark, sf_dir).join(names, "path").drop("folder", "path").withColumnsRenamed({"f": "folder", "name": "path"})
+
+
+@query(
+    _WINNERS
+    + _UPLOADS
+    + _COPIES
+    + _NAMED
+    + """,
+    live AS (SELECT folder, name, size, modified_s FROM c WHERE replica = '1' AND NOT deleted UNION ALL SELECT folder, copy, size, modified_s FROM cc),
+    pull AS (SELECT folder, name, size FROM n WHERE reason <> 'delete'),
+    ups AS (SELECT folder, name FROM up UNION ALL SELECT folder, copy FROM cc),
+    warned AS (SELECT en.folder, coalesce(cc.copy, path) AS name, arg_max(category, id) AS category, arg_max(reason, id) AS reason FROM en LEFT JOIN cc ON cc.folder = en.folder AND cc.name = path WHERE resolution = 0 AND severity >= 1 GROUP BY 1, 2),
+    keys AS (SELECT folder, name FROM pull UNION SELECT folder, name FROM ups UNION SELECT folder, copy FROM cc UNION SELECT folder, name FROM warned)
+    SELECT k.folder, k.name, coalesce(live.size, pull.size, 0) AS size, coalesce(live.modified_s, 0) AS modified_s, CASE WHEN live.name IS NOT NULL OR pull.name IS NOT NULL THEN 'file' ELSE '' END AS type,
+        pull.name IS NOT NULL AS pending, ups.name IS NOT NULL AS pending_up, cc.copy IS NOT NULL AS conflict, coalesce(cc.name, '') AS conflict_of, warned.name IS NOT NULL AS event, coalesce(category, '') AS event_cat, coalesce(reason, '') AS reason
+    FROM keys k LEFT JOIN live ON live.folder = k.folder AND live.name = k.name LEFT JOIN pull ON pull.folder = k.folder AND pull.name = k.name LEFT JOIN ups ON ups.folder = k.folder AND ups.name = k.name
+        LEFT JOIN cc ON cc.folder = k.folder AND cc.copy = k.name LEFT JOIN warned ON warned.folder = k.folder AND warned.name = k.name"""
+)
+def attention(spark, sf_dir):
+    """Pulls, uploads, copies of conflicts and open warnings on the documents' names, a row per name."""
+    return status.attention(_with_copies(spark, sf_dir), _named_events(spark, sf_dir), LOCAL, fx.peers(spark))
