@@ -3,7 +3,7 @@ event rows they emit, and the actions on conditions they settle; nothing moves b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -12,7 +12,7 @@ from . import reconcile
 from .events import conflict_actions
 
 #: Categories and texts of emitted events.
-APPLIED, SKIPPED, VERSIONED, CONFLICT, FAILED, WARNING = "applied", "skipped", "versioned", "conflict", "error", "warning"
+APPLIED, SKIPPED, VERSIONED, CONFLICT, FAILED, WARNING, SYSTEM = "applied", "skipped", "versioned", "conflict", "error", "warning", "system"
 LOCAL_REASONS = {"added": "local add", "modified": "local modify", "deleted": "local delete"}
 
 
@@ -25,6 +25,12 @@ def emitted(d: DataFrame, path: Column | str, category: str, severity: int, reas
     )
 
 
+def system_events(spark: SparkSession, reason: str, severity: int, ts_s: int, folders: list[str] | None = None) -> DataFrame:
+    """A row of the node itself, as when it starts or stops, or one for each of the folders."""
+    d = spark.createDataFrame([(f,) for f in folders or [""]], "folder string")
+    return emitted(d, "", SYSTEM, severity, reason, ts_s=ts_s)
+
+
 def change_events(changes: DataFrame, ts_s: int) -> DataFrame:
     """Of a scan's changes; a skipped file names its rule."""
     done = changes.where("kind <> 'skipped'")

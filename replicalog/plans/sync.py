@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog as cat
-from ..operators import diff, guards, reconcile, retention
+from ..operators import diff, guards, reconcile, resolve, retention
 from ..operators import events as ev
 from ..sources.changed import hash_changed
 from ..sources.walk import walk
@@ -49,6 +50,24 @@ def scan_folder(spark: SparkSession, root: str, folder: str, catalog: DataFrame,
     return Scan(changes, cat.put(catalog, diff.apply_local_changes(catalog, changes, device)), found.errors.unionByName(unread))
 
 
+@dataclass(frozen=True)
+class Rebuild:
+    """``catalog``: the folder's rows, numbered from 1; ``events``: that it was rebuilt; ``index_id``: new, so that peers
+    exchange all of the folder; ``errors`` of the walk."""
+
+    catalog: DataFrame
+    events: DataFrame
+    index_id: str
+    errors: DataFrame
+
+
+def rebuild_folder(spark: SparkSession, root: str, folder: str, catalog: DataFrame, rules: DataFrame | None, device: str, ts_s: int) -> Rebuild:
+    """A folder's own rows made anew from what lies on disk; ``catalog`` lends its columns only. All is hashed."""
+    nothing = catalog.limit(0)
+    done = scan_folder(spark, root, folder, nothing, rules, device)
+    return Rebuild(done.catalog, resolve.system_events(spark, "catalog rebuilt from the files", ev.WARN, ts_s, [folder]), uuid.uuid4().hex, done.errors)
+
+
 def plan(catalog: DataFrame, folders: DataFrame, markers: DataFrame, local: str, peer: str) -> Plan:
     """Moves first; then what is still to be pulled, without deletions that the guard holds back."""
     pair = catalog.where(F.col("replica").isin(local, peer))
