@@ -1,5 +1,7 @@
 """Cuts of lineage in the folder that driver and executors share, and what becomes of them.
 
+What is cut inside a ``scratch`` goes when that ends; all else when the driver's JVM does, as frames that read it live until then.
+
 The folder is the session's ``spark.checkpoint.dir``. Only a local session may do without: it gets one of its own.
 """
 
@@ -9,11 +11,20 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: For each open ``scratch``, the innermost last: paths to delete and broadcasts to release.
-_OPEN: list[tuple[list[str], list]] = []
+#: For each ``scratch`` that this thread has open, the innermost last: paths to delete and broadcasts to release.
+_OPEN: ContextVar[tuple[tuple[list[str], list], ...]] = ContextVar("open", default=())
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    if _OPEN.get():
+        _OPEN.get()[-1][0].append(path)
+    else:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,10 +43,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     out = df.checkpoint()
-    if _OPEN:
-        file = out._jdf.logicalPlan().rdd().getCheckpointFile()
-        if file.isDefined():
-            _OPEN[-1][0].append(file.get())
+    file = out._jdf.logicalPlan().rdd().getCheckpointFile()
+    if file.isDefined():
+        _note(df.sparkSession, file.get())
     return out
 
 
@@ -43,16 +53,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the frame as Parquet into the shared folder and reads it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1][0].append(path)
-    df.write.parquet(path)
+    try:
+        df.write.parquet(path)
+    finally:
+        _note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def released_after(broadcast):
     """Notes a broadcast variable, whose copies on the executors go with the scratch it was made in."""
-    if _OPEN:
-        _OPEN[-1][1].append(broadcast)
+    if _OPEN.get():
+        _OPEN.get()[-1][1].append(broadcast)
     return broadcast
 
 
@@ -60,11 +71,12 @@ def released_after(broadcast):
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what was stored and checkpointed inside, and releases broadcasts. Frames that depend on
     these must have been written by then, by a path of their own or under an outer scratch."""
-    _OPEN.append(([], []))
+    paths, broadcasts = [], []
+    token = _OPEN.set((*_OPEN.get(), (paths, broadcasts)))
     try:
         yield
     finally:
-        paths, broadcasts = _OPEN.pop()
+        _OPEN.reset(token)
         for b in broadcasts:
             b.unpersist()
         delete(spark, paths)

@@ -1,0 +1,62 @@
+"""What is cut from lineage goes with the scratch it was made in, per thread, or with the driver."""
+
+import glob
+import subprocess
+import sys
+import textwrap
+import threading
+
+from replicalog import storage
+
+
+def test_scratch_of_two_threads(spark, tmp_path):
+    wait = threading.Barrier(2, timeout=60)
+
+    def run(n):
+        with storage.scratch(spark):
+            d = storage.stored(spark.range(5), f"t{n}")
+            assert d.count() == 5
+            wait.wait()
+            if n == 1:
+                return
+            assert d.count() == 5
+
+    def first():
+        run(1)
+        ended.set()
+
+    ended = threading.Event()
+    one, failed = threading.Thread(target=first), []
+
+    def other():
+        try:
+            with storage.scratch(spark):
+                d = storage.stored(spark.range(7), "t2")
+                wait.wait()
+                assert ended.wait(60)
+                assert d.count() == 7
+        except Exception as e:
+            failed.append(e)
+
+    two = threading.Thread(target=other)
+    one.start()
+    two.start()
+    one.join(90)
+    two.join(90)
+    assert not failed
+    where = storage.shared_dir(spark).removeprefix("file://")
+    assert not glob.glob(f"{where}/t1-*") and not glob.glob(f"{where}/t2-*")
+
+
+def test_the_rest_goes_with_the_driver(tmp_path):
+    code = f"""
+        from pyspark.sql import SparkSession
+        from replicalog import storage
+        spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+        assert storage.stored(spark.range(3), "one").count() == 3 and storage.checkpointed(spark.range(4)).count() == 4
+        import glob
+        assert glob.glob("{tmp_path}/one-*") and glob.glob("{tmp_path}/*/rdd-*")
+        spark.stop()
+    """
+    subprocess.run([sys.executable, "-c", textwrap.dedent(code)], check=True, timeout=120)
+    assert not glob.glob(f"{tmp_path}/one-*") and not glob.glob(f"{tmp_path}/*/rdd-*")
