@@ -2,7 +2,7 @@
 
 Terms are hashed byte pairs, and for every word how far back the same word stood last (in powers of two, or never).
 Weighted and normalised term vectors of a bounded sample of labelled
-documents give, by the eigenvectors of their Gram matrix, the latent space. The sample's
+documents give, by the leading eigenvectors of their Gram matrix, the latent space. The sample's
 latent vectors, at most ``2 * PER_CLASS`` rows of ``RANK`` numbers, are broadcast. Every document is
 folded in by its whole text, exact cosines with all of them are computed block by block, and the
 ``NEIGHBOURS`` nearest vote with their similarity as weight.
@@ -33,6 +33,8 @@ MOST_CHARS = 200_000
 PAIRS = 2048
 DISTANCES = 8
 RANK = 48
+#: Vectors beside these while they are searched for, and rounds of the search.
+SPARE, ROUNDS = 16, 30
 NEIGHBOURS = 15
 BLOCK = 256
 
@@ -64,15 +66,28 @@ def terms(text: str) -> np.ndarray:
     return np.sqrt(out)
 
 
+def leading(x: np.ndarray) -> np.ndarray:
+    """The RANK leading eigenvectors of the Gram matrix of x, by subspace iteration: the matrix itself, and what its
+    decomposition needs beside it, would be most of what the driver holds."""
+    q = np.linalg.qr(np.random.default_rng(0).standard_normal((x.shape[1], min(x.shape[1], RANK + SPARE)), dtype=np.float32))[0]
+    for _ in range(ROUNDS):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    small = x @ q
+    values, vectors = np.linalg.eigh((small.T @ small).astype(np.float64))
+    return (q @ vectors[:, np.argsort(-values)[:RANK]]).astype(np.float32)
+
+
 class Space:
     """Latent space and labelled vectors; small and fixed in size."""
 
     def __init__(self, rows: np.ndarray, labels: np.ndarray):
+        """``rows`` is written over, so that the driver holds the sample's vectors once."""
         present = (rows > 0).sum(axis=0)
         self.weight = np.log((1 + len(rows)) / (1 + present)).astype(np.float32) + 1
-        x = self._weighted(rows)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.basis = vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
+        rows *= self.weight
+        norm = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+        x = np.divide(rows, np.where(norm > 0, norm, 1), out=rows)
+        self.basis = leading(x)
         self.vectors, self.labels, self.share = self._unit(x @ self.basis), labels.astype(np.float32), float(labels.mean())
 
     def _weighted(self, rows: np.ndarray) -> np.ndarray:
@@ -107,7 +122,14 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Space | float:
     y = np.array([r["y"] for r in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    return Space(np.stack([np.frombuffer(r["v"], dtype=np.float32) for r in rows]), y)
+    x = np.empty((len(rows), PAIRS + DISTANCES), dtype=np.float32)
+    for k in range(len(rows)):
+        x[k] = np.frombuffer(rows[k]["v"], dtype=np.float32)
+        rows[k] = None
+    space = Space(x, y)
+    del x, rows
+    let_go()
+    return space
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
