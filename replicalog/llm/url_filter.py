@@ -5,8 +5,8 @@ share one inventory of grams and are smoothed by Witten-Bell interpolation, so t
 gram's probability falls back on its suffix. A URL's score is the difference of the two
 log-likelihoods over its length; the cut is calibrated on a held-out fifth of the labelled
 URLs, so that ``ACCEPTED`` of the accepted ones among them pass. Labelled URLs are those that a rule decides, and hosts that hold a seed word. The
-models read the host without its last two labels, and the path without its first segment: what the rules themselves
-decide on is left out, so that no URL is judged by a language or domain that only the rules' examples share.
+models read the host without its last label, and the path without its first segment: these the rules decide on, and no
+URL shall be judged by a language or top-level domain that only the rules' examples share. A domain's own name is read.
 
 Everything is a join or an aggregate. Grams are counted with map-side combining; every gram and
 context that occurs stays in the inventory, at every size. Distinct windows are scored once, whatever
@@ -122,12 +122,17 @@ def _scored(texts: DataFrame, model: DataFrame) -> DataFrame:
     return places.join(broadcast_if_small(w, MAX_WINDOWS), "window").groupBy("m").agg((F.sum("ratio") / F.count("*")).alias("score"))
 
 
+def _read() -> Column:
+    """What the models see of a URL's host and path."""
+    return F.concat(F.regexp_replace("host", "[^.]*$", ""), F.regexp_replace("path", "^/[^/]*", ""))
+
+
 def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score."""
     d = parts(pages, rules)
     seeded = F.col("host").rlike("|".join(seeds))
     label = F.when(F.col("ruled") == "block", 0).when((F.col("ruled") == "allow") & ~seeded, 1).when(F.col("ruled").isNull() & seeded, 0)
-    m = F.concat(F.regexp_replace("host", r"[^.]*\.?[^.]*$", ""), F.regexp_replace("path", "^/[^/]*", ""))
+    d, m = d.withColumn("read", _read()), F.col("read")
     d = d.select("*", m.alias("m"), label.alias("label"), (F.pmod(F.xxhash64(m), F.lit(5)) == 0).alias("aside"))
     texts = checkpointed(d.groupBy("m").agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"), F.first("aside").alias("aside")))
     labelled = texts.select("m", "aside", F.explode(F.array(F.struct(F.lit(1).alias("label"), F.col("good").alias("n")), F.struct(F.lit(0).alias("label"), F.col("bad").alias("n")))).alias("x")).select("m", "aside", "x.*").where("n > 0")

@@ -155,3 +155,13 @@ def test_url_seed_words_are_learned_and_languages_are_not(spark):
     like = [(3000 + i, f"https://casin0-{name()}.example.com/en/{i}") for i in range(20)]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows + plain + like, "page_id long, url string")).collect()}
     assert sum(got[i] == "block" for i, _ in like) >= 18 and sum(got[i] == "allow" for i, _ in plain) >= 54
+
+
+def test_url_models_read_the_names_of_domains(spark):
+    hosts = {"http://casino-pills.biz/a/1": "casino-pills./1", "http://nicehost.biz/a/1": "nicehost./1", "http://www.x.org/a/1": "www.x./1", "http://net/a/1": "/1", "http://a.example.com/de/2": "a.example./2", "http://b.planet/q": "b."}
+    parts = url_filter.parts(spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string"))
+    assert {r.url: r.m for r in parts.select("url", url_filter._read().alias("m")).collect()} == hosts
+    rows = [f"http://{w}{k}.org/fr/page/{k}" for k in range(30) for w in ("garden", "museum")] + [f"http://{w}{k}.biz/x/page/{k}" for k in range(30) for w in ("cheappills", "casino-win")]
+    asked = ["http://pillcheap.biz/x/page/7", "http://winsino.biz/x/page/7"]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(rows + asked)), "page_id long, url string")).collect()}
+    assert len({got[len(rows) + k].score for k in range(2)}) == 2 and all(got[len(rows) + k].verdict == "block" for k in range(2))
