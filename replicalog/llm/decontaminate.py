@@ -13,15 +13,16 @@ in a row agree.
 Part of that definition: an alignment is looked at where SEED words in a row agree. n words of which e are changed, be it
 as evenly as can be, hold such a run whenever n > 4 * e + 3: one change in 9 words is found wherever it is, two in 14, six
 in 30, nine in 40, and more if they stand closer. Windows that more than ``COMMON`` texts of items share, such as a stock
-question's form, are no candidates for items that hold rarer ones, so that a form met in every document does not pair
-it with every item.
+question's form, do not by themselves name candidates for items that hold rarer ones, so that a form met in every document
+does not pair it with every item: such windows are looked up a second time together with what else a leak must hold
+(``common_alignments``). No leak is lost by that; ``COMMON`` says only which way it is found.
 Items of fewer than ``SHORTEST`` words stand in most texts by chance: they are leaked by a document of which they are
 a whole line.
 
 The benchmark's windows are broadcast up to a counted bound, its words up to a bound in bytes. Then documents are read
 once: windows are made, probed, compared and dropped inside the scan, and only pairs that may leak are shuffled. Beyond
-the bounds the same is done by shuffles of windows, without texts. A window that an item repeats counts at its
-first place, so that hits are linear in the document.
+the bounds the same is done by shuffles of windows, without texts. A window that an item repeats counts at each of its
+places. Documents with common windows are read twice more.
 
 Defined cases: null or empty texts have no windows, and empty items are leaked by nothing; repeated rows of either
 side count once, and rows that share an id but not their text are told apart; a null id on either side is dropped;
@@ -30,14 +31,14 @@ extra columns are ignored; empty tables give empty results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, text_of
+from .common import broadcast_if_small, checkpointed, stored, text_of
 
 #: Words of the windows that are looked up (a power of two), of those that count as covered, and of the shortest items.
 SEED, WINDOW, SHORTEST = 4, 8, 5
-#: Windows that more texts of items share name no candidates, unless an item has none but such.
+#: Windows that more texts of items share name candidates only with more evidence, unless an item has none but such.
 COMMON = 32
 #: So many words in a row are a leak, whatever their share of the item.
 RUN = 20
@@ -93,31 +94,100 @@ def windows(toks: DataFrame) -> DataFrame:
     return d.withColumn("hs", hs).drop("h", "c", "slotted")
 
 
-def seeds(items: DataFrame) -> DataFrame:
+def seeds(items: DataFrame, common: bool = False) -> DataFrame:
     """ITEM, n (its words), h, q (place), before (hash of the seed one place earlier, if that is one too) of the windows
-    by which items are looked up."""
-    w = windows(items.where(F.size("canon") >= SHORTEST)).select(*ITEM, F.size("canon").alias("n"), F.posexplode_outer("hs").alias("pos", "h"))
-    b = w.groupBy(*ITEM, "n", "h").agg(F.min("pos").alias("q"))
+    by which items are looked up; with ``common`` of those that too many texts share."""
+    b = windows(items.where(F.size("canon") >= SHORTEST)).select(*ITEM, F.size("canon").alias("n"), F.posexplode_outer("hs").alias("q", "h"))
     b = b.join(b.groupBy("h").agg(F.countDistinct("item_hash").alias("texts")), "h")
-    b = b.join(b.groupBy(*ITEM).agg(F.min("texts").alias("least")), ITEM).where(F.col("texts") <= F.greatest(F.lit(COMMON), F.col("least"))).drop("texts", "least")
+    rare = F.col("texts") <= F.greatest(F.lit(COMMON), F.col("least"))
+    b = b.join(b.groupBy(*ITEM).agg(F.min("texts").alias("least")), ITEM).where(~rare if common else rare).drop("texts", "least")
     return b.join(b.select(*ITEM, (F.col("q") + 1).alias("q"), F.col("h").alias("before")), [*ITEM, "q"], "left")
 
 
+_FIRST = "before IS NULL OR previous IS NULL OR before <> previous"
+_OFFSET = "i - q AS offset"
+
+
+def _beside(c: str) -> Column:
+    """The document's words beside the item's."""
+    return F.slice(c, F.greatest("offset", F.lit(0)) + 1, F.col("n") + F.least("offset", F.lit(0))).alias(f"doc_{c}")
+
+
+def _placed(toks: DataFrame) -> DataFrame:
+    """``toks`` with a row for each window: i (place), h, previous (the window before)."""
+    # The outer form: from the plain one Spark infers a filter on the array, and makes it twice.
+    return windows(toks).select("*", F.posexplode_outer("hs").alias("i", "h")).where("h IS NOT NULL").withColumn("previous", F.get("hs", F.col("i") - 1)).drop("hs")
+
+
 def alignments(docs: DataFrame, b: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     """DOC, ITEM, offset of the item in the document, doc_raw, doc_canon (the document's words beside the item's) of
     every alignment with a seed ``b``. Of seeds in a row the first stands for all."""
-    first = F.coalesce(F.col("before") != F.col("previous"), F.lit(True))
-    offset = (F.col("i") - F.col("q")).alias("offset")
-    beside = lambda c: F.slice(c, F.greatest("offset", F.lit(0)) + 1, F.col("n") + F.least("offset", F.lit(0))).alias(f"doc_{c}")
-    # The outer form: from the plain one Spark infers a filter on the array, and makes it twice.
-    d = windows(tokens(docs, "doc_id", DOC)).select("*", F.posexplode_outer("hs").alias("i", "h")).where("h IS NOT NULL").withColumn("previous", F.get("hs", F.col("i") - 1)).drop("hs")
+    d = _placed(tokens(docs, "doc_id", DOC))
     if b.limit(most + 1).count() <= most:
-        return d.join(F.broadcast(b), "h").where(first).select(*DOC, *ITEM, "n", "raw", "canon", offset).select(*DOC, *ITEM, "offset", beside("raw"), beside("canon"))
+        return d.join(F.broadcast(b), "h").where(_FIRST).select(*DOC, *ITEM, "n", "raw", "canon", F.expr(_OFFSET)).select(*DOC, *ITEM, "offset", _beside("raw"), _beside("canon"))
     # Windows are shuffled without the texts; only those with hits are made into words again.
-    lines = checkpointed(d.drop("raw", "canon").join(b, "h").where(first).select(*DOC, *ITEM, "n", offset).distinct())
-    ids = lines.select(F.col("doc_id").alias("hit_id"), F.col("doc_hash").alias("hit_hash")).distinct()
-    hit = docs.select("doc_id", "text").join(ids, (F.col("doc_id") == F.col("hit_id")) & (F.xxhash64(text_of()) == F.col("hit_hash")), "left_semi")
-    return lines.join(tokens(hit, "doc_id", DOC).dropDuplicates(DOC), DOC).select(*DOC, *ITEM, "offset", beside("raw"), beside("canon"))
+    lines = checkpointed(d.drop("raw", "canon").join(b, "h").where(_FIRST).select(*DOC, *ITEM, "n", F.expr(_OFFSET)).distinct())
+    return lines.join(tokens(_having(docs, lines), "doc_id", DOC).dropDuplicates(DOC), DOC).select(*DOC, *ITEM, "offset", _beside("raw"), _beside("canon"))
+
+
+def _having(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that ``rows`` name by DOC."""
+    ids = rows.select(F.col("doc_id").alias("hit_id"), F.col("doc_hash").alias("hit_hash")).distinct()
+    return docs.select("doc_id", "text").join(broadcast_if_small(ids, MAX_WINDOWS), (F.col("doc_id") == F.col("hit_id")) & (F.xxhash64(text_of()) == F.col("hit_hash")), "left_semi")
+
+
+def _grams(toks: DataFrame) -> DataFrame:
+    """``toks`` with g and g_run: hashes of all its SEED and RUN canonical words in a row, whatever they are."""
+    d = toks.withColumn("g1", F.transform("canon", lambda w: F.xxhash64(w)))
+    later = lambda c, k: F.slice(c, F.lit(k + 1), F.size("canon"))
+    both = lambda a, b: F.xxhash64(a, b)
+    for k in (1, 2, 4, 8):
+        d = d.withColumn(f"g{2 * k}", F.zip_with(f"g{k}", later(f"g{k}", k), both))
+    d = d.withColumn("g_run", F.zip_with("g16", later("g4", RUN - SEED), both))
+    cut = lambda c, k: F.slice(c, F.lit(1), F.greatest(F.size("canon") - k + 1, F.lit(0)))
+    return d.withColumns({"g": cut("g4", SEED), "g_run": cut("g_run", RUN)}).drop("g1", "g2", "g4", "g8", "g16")
+
+
+def _keys(items: DataFrame, forms: DataFrame) -> DataFrame:
+    """ITEM, key: of the items with common windows, what a document that leaks them must hold.
+
+    If T of n words agree, one of any n - T + 1 does. So keys are, beside a common window, the n - T + 1 words outside it
+    that are rarest at their distance from it; for words covered by several alignments, the windows around the n - T + 1
+    places whose windows are rarest; and each RUN words in a row. Words of a form are the last to become keys: they
+    do if the form alone makes up the share, so that it is leaked by all who hold it.
+    """
+    spare = F.col("n") - F.ceil(needed(F.col("n")) * F.col("n")) + 1
+    rank = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    some = items.join(forms.select(*ITEM, "n").distinct(), ITEM)
+    near = forms.select(*ITEM, "h", "q").join(some, ITEM).select(*ITEM, "n", "h", "q", F.posexplode("canon").alias("p", "w")).where((F.col("p") < F.col("q")) | (F.col("p") >= F.col("q") + SEED))
+    near = checkpointed(near.select(*ITEM, "n", "h", "q", F.xxhash64(F.lit(1), "h", (F.col("p") - F.col("q")).cast("int"), "w").alias("key")))
+    near = near.join(near.groupBy("key").agg(F.count("*").alias("held")), "key").withColumn("rank", rank([*ITEM, "h", "q"], "held", "key")).where(F.col("rank") <= spare)
+    grams = checkpointed(_grams(some))
+    g = grams.select(*ITEM, "n", F.posexplode("g").alias("p", "g")).select(*ITEM, "n", "p", F.xxhash64(F.lit(2), "g").alias("key"))
+    g = g.join(g.groupBy("key").agg(F.count("*").alias("held")), "key").select(*ITEM, "n", "key", "held", F.explode(F.sequence(F.col("p"), F.col("p") + SEED - 1)).alias("place"))
+    g = checkpointed(g)
+    places = g.groupBy(*ITEM, "n", "place").agg(F.sum("held").alias("held")).withColumn("rank", rank(ITEM, "held", "place")).where(F.col("rank") <= spare)
+    covering = g.join(places.select(*ITEM, "place"), [*ITEM, "place"])
+    runs = grams.select(*ITEM, F.explode("g_run").alias("g")).select(*ITEM, F.xxhash64(F.lit(3), "g").alias("key"))
+    return near.select(*ITEM, "key").unionByName(covering.select(*ITEM, "key")).unionByName(runs).distinct()
+
+
+def common_alignments(docs: DataFrame, items: DataFrame, forms: DataFrame, known: DataFrame) -> DataFrame:
+    """What ``alignments`` gives for the common windows ``forms``, of all pairs that can leak (by ``_keys``) and of the
+    pairs ``known`` (DOC, ITEM), without listing all pairs that share a form."""
+    common = broadcast_if_small(checkpointed(forms.select("h").distinct()), MAX_WINDOWS)
+    holding = checkpointed(_placed(tokens(docs, "doc_id", DOC)).select(*DOC, "h").join(common, "h", "left_semi").select(*DOC).distinct())
+    toks = stored(tokens(_having(docs, holding), "doc_id", DOC).dropDuplicates(DOC), "form-words")
+    most = forms.agg(F.max("n")).first()[0]
+    low = F.greatest(F.col("i") - most, F.lit(0))
+    beside = _placed(toks).select(*DOC, "canon", "i", "h").join(common, "h", "left_semi")
+    beside = beside.select(*DOC, F.explode(F.transform(F.slice("canon", low + 1, F.lit(2 * most)), lambda w, k: F.xxhash64(F.lit(1), "h", (k + low - F.col("i")).cast("int"), w))).alias("key"))
+    grams = F.concat(F.transform("g", lambda g: F.xxhash64(F.lit(2), g)), F.transform("g_run", lambda g: F.xxhash64(F.lit(3), g)))
+    held = beside.unionByName(_grams(toks).select(*DOC, F.explode(grams).alias("key")))
+    pairs = held.join(broadcast_if_small(checkpointed(_keys(items, forms)), MAX_WINDOWS), "key").select(*DOC, *ITEM)
+    pairs = checkpointed(pairs.unionByName(known.select(*DOC, *ITEM)).distinct())
+    lines = pairs.join(forms, ITEM).join(_placed(toks).drop("raw", "canon"), [*DOC, "h"]).where(_FIRST).select(*DOC, *ITEM, "n", F.expr(_OFFSET)).distinct()
+    return lines.join(toks, DOC).select(*DOC, *ITEM, "offset", _beside("raw"), _beside("canon"))
 
 
 def compared(lines: DataFrame, items: DataFrame) -> DataFrame:
@@ -166,7 +236,12 @@ def short_leaks(docs: DataFrame, items: DataFrame, benchmark: DataFrame) -> Data
 def found(docs: DataFrame, benchmark: DataFrame, most: int = MAX_WINDOWS) -> DataFrame:
     """DOC, ITEM, n, n_found, run, changed of every leak."""
     items = checkpointed(tokens(benchmark, "item_id", ITEM).dropDuplicates(ITEM))
-    seen = compared(alignments(docs, checkpointed(seeds(items)), most), items).groupBy(*DOC, *ITEM).agg(
+    seen = compared(alignments(docs, checkpointed(seeds(items)), most), items)
+    forms = checkpointed(seeds(items, common=True))
+    if not forms.isEmpty():
+        seen = checkpointed(seen)
+        seen = seen.unionByName(compared(common_alignments(docs, items, forms, seen), items))
+    seen = seen.groupBy(*DOC, *ITEM).agg(
         F.max("n").alias("n"), F.max("same").alias("same"), F.size(F.array_distinct(F.flatten(F.collect_set("covered")))).alias("covered"), F.max("run").alias("run"), F.max_by("changed", F.struct("same", "changed")).alias("changed")
     )
     seen = seen.withColumn("n_found", F.greatest("same", "covered")).where((F.col("n_found") >= needed(F.col("n")) * F.col("n")) | (F.col("run") >= RUN)).select(*DOC, *ITEM, "n", "n_found", "run", "changed")

@@ -241,3 +241,37 @@ def test_words_are_split_at_runs_of_other_characters(spark):
     assert set(got) == {1, 2, 3, 4}
     assert got[1] == (["ab", "\x02cd", "12", "km", "x"], ["ab", "\x01name", "\x01num", "\x01unit", "x"])
     assert got[2] == (["a", "b"], ["a", "b"]) and got[3] == (["12"], ["\x01num"]) and got[4] == (["x"], ["x"])
+
+
+def test_common_forms_lose_no_leak(spark):
+    """Leaks by windows that more than COMMON items share: by 20 words in a row, by the share of the item, by a few
+    more words beside a form, by two forms at different distances; against every alignment compared by hand."""
+    draw = random.Random(21)
+    long, half, one, two = prose(draw, 24), prose(draw, 16), prose(draw, 10), prose(draw, 11)
+    items = [(i, f"{long} {prose(draw, 30)}") for i in range(40)] + [(100 + i, f"{half} {prose(draw, 24)}") for i in range(40)]
+    items += [(200 + i, f"{one} {prose(draw, 6)} {two} {prose(draw, 6)}") for i in range(40)] + [(300 + i, f"{one} {prose(draw, 6)}") for i in range(40)]
+    own = [t.split() for _, t in items]
+    docs = [f"{prose(draw, 9)} {long} {prose(draw, 40)}", f"{prose(draw, 9)} {half} {prose(draw, 40)}", f"{two} {prose(draw, 3)} {one} {prose(draw, 40)}"]
+    for k in (41, 50, 60, 125, 130):
+        docs += [" ".join(w if p < 16 or p % (2 + j) else prose(draw, 1) for p, w in enumerate(own[k])) for j in range(2)]
+    rows = list(enumerate(docs))
+    want = {(d, i) for d, t in rows for i, x in items if leaks_by_hand(t, x)}
+    hidden = want - {(d, i) for d, t in rows for i, x in items if leaks_by_hand(t, x, tuple(t for _, t in items))}
+    assert {(0, i) for i in range(40)} <= hidden and {(2, 200 + i) for i in range(40)} <= hidden and any(100 <= i < 200 for _, i in hidden)
+    assert not any(d == 1 and 100 <= i < 200 for d, i in want)
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(*frames).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert {r.longest_run for r in got if r.doc_id == 0 and r.item_id < 40} == {24}
+    again = decontaminate.leaks(*frames, most=0).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_repeated_windows_of_an_item_count_at_each_place(spark):
+    """The second place of a window is the only one by which the copy is aligned."""
+    again = "ka ro mi te"
+    item = f"{again} su ne lo pa {again} " + " ".join(f"w{'abcdefgh'[k]}x" for k in range(8))
+    doc = f"zz {again} " + " ".join(f"w{'abcdefgh'[k]}x" if k % 4 != 3 else "qq" for k in range(8))
+    docs = spark.createDataFrame([(1, "su ne lo zz " + doc[3:].replace("wcx", "rr")), (2, "su ne lo " + doc)], "doc_id long, text string")
+    lined = decontaminate.alignments(docs, decontaminate.seeds(decontaminate.tokens(spark.createDataFrame([(1, item)], "item_id long, text string"), "item_id", decontaminate.ITEM)))
+    assert {(r.doc_id, r.offset) for r in lined.collect()} >= {(1, 4), (1, -4), (2, 4), (2, -4)}
