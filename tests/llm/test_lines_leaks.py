@@ -275,3 +275,59 @@ def test_repeated_windows_of_an_item_count_at_each_place(spark):
     docs = spark.createDataFrame([(1, "su ne lo zz " + doc[3:].replace("wcx", "rr")), (2, "su ne lo " + doc)], "doc_id long, text string")
     lined = decontaminate.alignments(docs, decontaminate.seeds(decontaminate.tokens(spark.createDataFrame([(1, item)], "item_id long, text string"), "item_id", decontaminate.ITEM)))
     assert {(r.doc_id, r.offset) for r in lined.collect()} >= {(1, 4), (1, -4), (2, 4), (2, -4)}
+
+
+def families_by_hand(texts):
+    """Components of all pairs of masked lines of one leaf that agree, as sets of lines."""
+    up = {t: t for t in texts}
+
+    def root(t):
+        while up[t] != t:
+            t = up[t]
+        return t
+
+    for a in texts:
+        for b in texts:
+            x, y = a.split(), b.split()
+            if len(x) == len(y) and x[: line_dedup.DEPTH] == y[: line_dedup.DEPTH] and sum(map(str.__eq__, x, y)) >= line_dedup.SIMILAR * len(x):
+                up[root(a)] = root(b)
+    found = {}
+    for t in texts:
+        found.setdefault(root(t), set()).add(t)
+    return {frozenset(f) for f in found.values() if len(f) > 1}
+
+
+def linked_families(spark, texts):
+    from pyspark.sql import functions as F
+
+    from replicalog.llm.graph import components
+
+    lines = spark.createDataFrame([(t, 1 + len(texts) - k) for k, t in enumerate(texts)], "m string, docs long")
+    distinct = lines.selectExpr(f"{line_dedup._HEAD} AS leaf", "xxhash64(m) AS mh", f"{line_dedup._COUNT} AS n", "docs", "m")
+    links = components(line_dedup._links(distinct)).join(distinct, F.col("node") == F.col("mh"))
+    return {frozenset(r.f) for r in links.groupBy("root").agg(F.collect_set("m").alias("f")).collect()}
+
+
+def test_no_link_is_lost_to_heavier_lines(spark):
+    """Heavier lines that share parts of two lines head all that these have in common; random families with shared words."""
+    w = [f"w{chr(97 + k)}" for k in range(17)]
+    a, b = list(w), list(w)
+    a[3], b[4] = "ax", "bx"
+    heavy = []
+    for k in range(14):  # each shares a few places with both lines, and all places are shared with some
+        h = [x if p < 3 or (p - 3 - k) % 14 < 6 else f"h{chr(97 + k)}{chr(97 + p)}" for p, x in enumerate(w)]
+        heavy.append(" ".join(h))
+    texts = [*heavy, " ".join(a), " ".join(b)]
+    want = families_by_hand(texts)
+    assert frozenset(texts[-2:]) in want or any(set(texts[-2:]) <= f for f in want)
+    assert linked_families(spark, texts) == want
+    draw = random.Random(31)
+    texts = []
+    while len(texts) < 220:
+        x = draw.choice(texts).split() if texts and draw.random() < 0.8 else ["at", "this", "place", *(draw.choice("abcdefgh") for _ in range(draw.choice([1, 2, 5, 7, 9, 12])))]
+        for _ in range(draw.randint(1, 4)):
+            x[draw.randrange(3, len(x))] = draw.choice("abcdefghijklmnop")
+        if " ".join(x) not in texts:
+            texts.append(" ".join(x))
+    want = families_by_hand(texts)
+    assert len(want) > 3 and linked_families(spark, texts) == want
