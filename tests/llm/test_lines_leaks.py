@@ -331,3 +331,15 @@ def test_no_link_is_lost_to_heavier_lines(spark):
             texts.append(" ".join(x))
     want = families_by_hand(texts)
     assert len(want) > 3 and linked_families(spark, texts) == want
+
+
+def test_the_pipeline_drops_what_a_common_form_leaks(spark, tmp_path):
+    """Its decontamination stage finds a document that holds no more than a form that all items share."""
+    from replicalog.llm import stages
+
+    draw = random.Random(41)
+    form = prose(draw, 24)
+    items = [(i, f"{form} {prose(draw, 30)}") for i in range(40)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"{prose(draw, 9)} {form} {prose(draw, 9)}"), (2, prose(draw, 40))], "doc_id long, text string")
+    assert [r.doc_id for r in stages.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
