@@ -8,7 +8,7 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles (A-Z
    shingles of the range meet. Back comes, for each document, how many of its shingles no other document holds.
    Linked documents share one of their first n - ceil(0.8 n) + 1 shingles in any common order; taking the
    unshared ones first, a document with that many of them is linked with nothing. Most documents end here. (Hashes
-   are cut to 48 bits for the count; a collision only keeps a document in play.)
+   are cut to 48 bits for the count, and in their range to 32; a collision only keeps a document in play.)
 2. Documents with equal sets are linked to the least of them, which alone stands for them from here on.
 3. For the rest, each shingle's exact frequency among them is joined back, and each document hands out its prefix in
    order of frequency. Documents that share a shingle of their prefixes, and are connected by steps between set sizes that
@@ -112,6 +112,11 @@ def least_overlap(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
+def offsets_of(token: np.ndarray, width: int) -> np.ndarray:
+    """Places of hashes in their ranges of ``width``, in order, cut to 32 bits: half as much to shuffle as whole ones."""
+    return ((token % np.uint64(width)) >> np.uint64(max((width - 1).bit_length() - 32, 0))).astype(np.uint32)
+
+
 def unshared(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, n, s1 and s2 (128 bits that stand for the set), u (shingles that no other row holds), a row per row."""
     import pyspark
@@ -129,10 +134,9 @@ def unshared(docs: DataFrame, buckets: int) -> DataFrame:
             order = np.argsort(token, kind="stable")
             token, place = token[order], place[order]
             cuts = np.searchsorted(token, np.arange(buckets + 1, dtype=np.uint64) * np.uint64(width))
-            offset = (token - (token // np.uint64(width)) * np.uint64(width)).astype(np.uint64)
-            small = np.uint32 if width < 1 << 32 else np.uint64
+            offset = offsets_of(token, width)
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
-            tokens = [offset[cuts[k] : cuts[k + 1]].astype(small).tobytes() for k in full]
+            tokens = [offset[cuts[k] : cuts[k + 1]].tobytes() for k in full]
             places = [place[cuts[k] : cuts[k + 1]].astype(np.uint16 if len(sets) < 1 << 16 else np.uint32).tobytes() for k in full]
             nothing = [None] * len(full)
             one = lambda values, kind: pa.array(values, kind)
@@ -156,7 +160,7 @@ def unshared(docs: DataFrame, buckets: int) -> DataFrame:
 
     def counted(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Of one bucket: how many of a document's shingles stand alone, for each lot."""
-        token = [np.frombuffer(r["tokens"], np.uint32 if width < 1 << 32 else np.uint64) for r in rows]
+        token = [np.frombuffer(r["tokens"], np.uint32) for r in rows]
         # The lot's places are as wide as its count of documents needs.
         place = [np.frombuffer(r["places"], np.uint16 if len(r["places"]) == 2 * len(t) else np.uint32).astype(np.int64) for r, t in zip(rows, token, strict=True)]
         start = np.cumsum([0, *(int(p.max()) + 1 for p in place)])

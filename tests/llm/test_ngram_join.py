@@ -105,3 +105,14 @@ def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7), (None, 3), (200, 100), (100, 200)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100, 200: 100}
+
+
+def test_hashes_are_shuffled_in_four_bytes():
+    """However wide a range is, in order, and equal where the hashes are."""
+    draw = np.random.default_rng(5)
+    for buckets in (16, 204, 10**5, 10**6):
+        width = -(-(1 << 48) // buckets)
+        token = np.sort(draw.integers(3 * width, 4 * width, 1000).astype(np.uint64))
+        got = ngram_join.offsets_of(token, width)
+        assert got.dtype == np.uint32 and (np.diff(got.astype(np.int64)) >= 0).all()
+        assert len(np.unique(got)) > 990 and (got == ngram_join.offsets_of(token.copy(), width)).all()
