@@ -343,3 +343,24 @@ def test_the_pipeline_drops_what_a_common_form_leaks(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.createDataFrame([(1, f"{prose(draw, 9)} {form} {prose(draw, 9)}"), (2, prose(draw, 40))], "doc_id long, text string")
     assert [r.doc_id for r in stages.decontamination(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_rounds_over_few_lines_make_few_tasks(spark):
+    """However many partitions a shuffle has: what a round stores has as many as its rows are worth."""
+    from replicalog.llm import common, graph
+
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "61")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+        assert graph.components(edges).rdd.getNumPartitions() <= 3 * common.LEAST_PARTS
+        text = [" ".join(["at", "this", "place", *(x if k != j else f"n{chr(97 + j)}" for j, x in enumerate("abcdefgh"))]) for k in range(8)]
+        lines = spark.createDataFrame([(t, 1 + k) for k, t in enumerate(text)], "m string, docs long")
+        distinct = lines.selectExpr(f"{line_dedup._HEAD} AS leaf", "xxhash64(m) AS mh", f"{line_dedup._COUNT} AS n", "docs", "m")
+        taken = line_dedup._general(distinct)
+        assert taken.count() == 8 and taken.rdd.getNumPartitions() <= 2 * common.LEAST_PARTS
+        assert common.packed(spark.range(0, 10, 1, 61), 20 * common.PART_ROWS).rdd.getNumPartitions() == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
