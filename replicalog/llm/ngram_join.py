@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, let_go, stored
+from .common import broadcast_if_small, checkpointed, hinted, let_go, stored
 from .graph import components
 
 WORDS = 5
@@ -52,7 +52,7 @@ PERCENT = 80
 SLICE = 400_000
 #: Shingles that a task gathers before it sorts them.
 GATHER = 1_000_000
-#: Ids that are broadcast at most; beyond it the texts are joined by a shuffle.
+#: Ids that are broadcast at most; beyond it the texts, and the sets, are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Shingles of a bucket in which all documents' shingles of a range of hashes meet.
 BUCKET = 2_000_000
@@ -401,32 +401,35 @@ def _in_slices(rows: DataFrame) -> DataFrame:
 
 def _across_slices(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows of searches for the documents of ``asked`` in the other slices of their blocks; both: doc_id, s, block, slices, own."""
-    goals = asked.select("block", F.col("own").alias("j")).distinct()
-    index = rows.join(goals, "block").where("own <> j").select("doc_id", "s", "block", F.col("own").alias("i"), "j", F.lit(False).alias("query"))
+    goals = checkpointed(asked.select("block", F.col("own").alias("j")).distinct())
+    index = rows.join(broadcast_if_small(goals, MOST_BROADCAST), "block").where("own <> j").select("doc_id", "s", "block", F.col("own").alias("i"), "j", F.lit(False).alias("query"))
     others = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i")
     queries = asked.select("doc_id", "s", "block", "own", others).where("own <> i").select("doc_id", "s", "block", "i", F.col("own").alias("j"), F.lit(True).alias("query"))
     return index.unionByName(queries)
 
 
 def links(sets: DataFrame, members: DataFrame, slice_size: int) -> DataFrame:
-    """a, b: links that connect all documents of ``sets`` that links connect. ``members``: node, block, slices."""
-    d = sets.join(members, F.col("doc_id") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+    """a, b: links that connect all documents of ``sets`` that links connect. ``members``: node, block, slices. Sets stay
+    where they are until they meet in a slice: what says where they go is broadcast, up to a bound."""
+    count = members.count()
+    few = lambda d: hinted(d, count, MOST_BROADCAST)
+    d = sets.join(few(members), F.col("doc_id") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     inside = checkpointed(searched(_in_slices(d)))
     several = d.where("slices > 1")
     if members.where("slices > 1").isEmpty():
         return inside
     # One representative of each component, the largest set, as far as a block's representatives fit into a slice.
-    roots = lambda edges: several.select("doc_id", "block", F.size("s").alias("n")).join(components(edges), F.col("doc_id") == F.col("node"), "left").select("doc_id", "block", "n", F.coalesce("root", "doc_id").alias("root"))
+    roots = lambda edges: several.select("doc_id", "block", F.size("s").alias("n")).join(few(components(edges)), F.col("doc_id") == F.col("node"), "left").select("doc_id", "block", "n", F.coalesce("root", "doc_id").alias("root"))
     heads = checkpointed(roots(inside).groupBy("block", "root").agg(F.max(F.struct("n", "doc_id")).alias("x")).select(F.col("block").alias("of"), F.col("x.doc_id").alias("head"), F.col("x.n").alias("n")))
     small = heads.groupBy("of").agg(F.sum("n").alias("total")).where(F.col("total") <= slice_size).select("of")
-    some = several.join(heads.join(small, "of", "left_semi").select("head"), F.col("doc_id") == F.col("head"), "left_semi")
+    some = several.join(few(heads.join(few(small), "of", "left_semi").select("head")), F.col("doc_id") == F.col("head"), "left_semi")
     between = checkpointed(searched(_in_slices(some.withColumn("own", F.lit(0)))))
     # What the largest component of a block does not hold is searched for in the other slices.
     known = checkpointed(roots(inside.unionByName(between)))
     largest = known.groupBy("block", "root").count().groupBy(F.col("block").alias("of")).agg(F.max(F.struct("count", "root")).alias("x")).select("of", F.col("x.root").alias("main"))
-    rest = known.join(largest, (F.col("block") == F.col("of")) & (F.col("root") == F.col("main")), "left_anti").select(F.col("doc_id").alias("asked"))
+    rest = known.join(few(largest), (F.col("block") == F.col("of")) & (F.col("root") == F.col("main")), "left_anti").select(F.col("doc_id").alias("asked"))
     rest = checkpointed(rest)
-    across = searched(_across_slices(several, several.join(rest, F.col("doc_id") == F.col("asked"), "left_semi")))
+    across = searched(_across_slices(several, several.join(few(rest), F.col("doc_id") == F.col("asked"), "left_semi")))
     return inside.unionByName(between).unionByName(across)
 
 
@@ -453,7 +456,7 @@ def _prepared(docs: DataFrame, slice_size: int) -> tuple[DataFrame, DataFrame, D
 def pairs(docs: DataFrame, slice_size: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """All links (a, b, with a < b) between representatives of equal sets, and membership: doc_id, rep."""
     all_, same, sets, members = _prepared(docs, slice_size)
-    d = sets.join(members, F.col("doc_id") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+    d = sets.join(broadcast_if_small(members, MOST_BROADCAST), F.col("doc_id") == F.col("node")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
     found = searched(_in_slices(d), every=True).unionByName(searched(_across_slices(d, d), every=True))
     found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     rep = same.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("a"))

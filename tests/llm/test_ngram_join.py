@@ -116,3 +116,17 @@ def test_hashes_are_shuffled_in_four_bytes():
         got = ngram_join.offsets_of(token, width)
         assert got.dtype == np.uint32 and (np.diff(got.astype(np.int64)) >= 0).all()
         assert len(np.unique(got)) > 990 and (got == ngram_join.offsets_of(token.copy(), width)).all()
+
+
+def test_sets_are_not_shuffled_to_learn_their_slices(spark, monkeypatch):
+    """Rows of a search meet in their slice by one shuffle; beyond the bound, by joins, results are the same."""
+    sets = spark.createDataFrame([(i, list(range(i // 4 * 100, i // 4 * 100 + 50))) for i in range(40)], "doc_id long, s array<long>").repartition(3)
+    members = spark.createDataFrame([(i, i // 4, 1) for i in range(40)], "node long, block long, slices int")
+    sides = []
+    kept = ngram_join.searched
+    monkeypatch.setattr(ngram_join, "searched", lambda rows, every=False: (sides.append(rows), kept(rows, every))[1])
+    roots = lambda: {r.node: r.root for r in graph.components(ngram_join.links(sets, members, 1000)).collect()}
+    assert roots() == {i: i // 4 * 4 for i in range(40)}
+    assert "BroadcastHashJoin" in (plan := sides[0]._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+    monkeypatch.setattr(ngram_join, "MOST_BROADCAST", 5)
+    assert roots() == {i: i // 4 * 4 for i in range(40)}
