@@ -364,3 +364,72 @@ def test_rounds_over_few_lines_make_few_tasks(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before[0])
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def general_by_hand(docs):
+    """Lines (m: docs, all of one leaf) to the general template that takes them in, by the words of whole families."""
+    agree = lambda x, y: sum(map(str.__eq__, x.split(), y.split())) >= line_dedup.SIMILAR * len(x.split())
+    rest, taken = dict(docs), {}
+    while families := families_by_hand(rest):
+        left = {}
+        for family in families:
+            total, general = sum(rest[t] for t in family), []
+            for place in zip(*(t.split() for t in family), strict=True):
+                held = {}
+                for t, w in zip(family, place, strict=True):
+                    held[w] = held.get(w, 0) + rest[t]
+                general.append(max(held, key=held.get) if 2 * max(held.values()) > total else "<*>")
+            first = max(family, key=lambda t: rest[t])
+            named = sum(agree(t, " ".join(general)) for t in family) > 1
+            form = " ".join(general) if named else first
+            taken |= {t: form for t in family if agree(t, form)}
+            left |= {t: rest[t] for t in family if not agree(t, form)}
+        rest = left
+    return taken
+
+
+def test_general_templates_are_those_of_whole_families(spark, monkeypatch):
+    """Also where the heaviest line is masked, where another word than its own prevails, and with nothing broadcast or each leaf large."""
+    from pyspark.sql import functions as F
+
+    draw = random.Random(47)
+    docs = {}
+    for base in (["<*>" if k % 4 == 3 else f"b{chr(97 + k)}" for k in range(14)], [f"c{chr(97 + k)}" for k in range(9)], [f"d{chr(97 + k)}" for k in range(11)]):
+        for k in range(24 if len(base) != 11 else 5):
+            x = [w if p < 3 or draw.random() < 0.8 else draw.choice(["<*>", "y", "z"]) for p, w in enumerate(["at", "this", "place", *base])]
+            docs.setdefault(" ".join(x), 1 + 7 * k)
+    body = [f"e{chr(97 + k)}" for k in range(7)]
+    docs[" ".join(["at", "this", "place", "<*>", *body])] = 1000
+    docs |= {" ".join(["at", "this", "place", w, *body]): 900 for w in "qrst"}
+    edge = " ".join(["at", "this", "place", "<*>", *body[:4], "x", "x", "x"])  # as much as a line may differ from the form, masked where that is
+    docs[edge] = 1
+    lines = spark.createDataFrame(list(docs.items()), "m string, docs long")
+    distinct = lines.selectExpr(f"{line_dedup._HEAD} AS leaf", "xxhash64(m) AS mh", f"{line_dedup._COUNT} AS n", "docs", "m")
+    forms = general_by_hand(docs)
+    assert len(set(forms.values())) > 3 and edge in forms and any("<*>" in f for f in forms.values())
+    want = spark.createDataFrame(list(forms.items()), "m string, general string").select(F.xxhash64("m").alias("mh"), F.xxhash64(F.expr(line_dedup._HEAD), "general").alias("template"))
+    want = {tuple(r) for r in want.collect()}
+    for small, most in ((line_dedup.SMALL_LEAF, None), (100, None), (0, 0)):
+        monkeypatch.setattr(line_dedup, "SMALL_LEAF", small)
+        if most is not None:
+            monkeypatch.setattr(line_dedup, "FEW_KEYS", most)
+            monkeypatch.setattr(line_dedup, "FEW_LINES", most)
+        assert {(r.mh, r.template) for r in line_dedup._general(distinct).collect()} == want
+
+
+def test_small_leaves_shuffle_no_words_and_templates_are_broadcast_whole(spark, monkeypatch):
+    """Two copies with an edit are compared as texts, and a template is looked up in one row, not in one for each salt."""
+    draw = random.Random(53)
+    rows = []
+    for i in range(40):
+        words = [f"{w}{chr(97 + i % 26)}" for w in prose(draw, 60).split()]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:30], "zz", *words[31:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "MAX_BROADCAST", 200)
+    exploded, real = [], line_dedup.F.posexplode
+    monkeypatch.setattr(line_dedup.F, "posexplode", lambda c: exploded.append(c) or real(c))
+    found = line_dedup.templates(docs, line_dedup.keyed(docs))
+    assert not exploded
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    assert {(r.n_docs, r.first_doc % 2) for r in found.collect()} == {(2, 0)} and found.count() == 80
