@@ -433,3 +433,35 @@ def test_small_leaves_shuffle_no_words_and_templates_are_broadcast_whole(spark,
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan
     assert {(r.n_docs, r.first_doc % 2) for r in found.collect()} == {(2, 0)} and found.count() == 80
+
+
+def test_families_by_words_also_where_all_could_be_compared(spark, monkeypatch):
+    """Few lines are compared each with each; that the search by rare words finds the same stays tested."""
+    by_words, real = [], line_dedup._links_by_words
+    monkeypatch.setattr(line_dedup, "_links_by_words", lambda d: by_words.append(d) or real(d))
+    monkeypatch.setattr(line_dedup, "FEW_COMPARED", 0)
+    test_no_link_is_lost_to_heavier_lines(spark)
+    test_general_templates_are_those_of_whole_families(spark, monkeypatch)
+    assert by_words
+
+
+def leaf_of_two_rounds(spark):
+    """Lines of one leaf, some of which no general template takes in at first."""
+    base = [f"b{chr(97 + k)}" for k in range(10)]
+    texts = [" ".join(["at", "this", "place", *(w if (p + k) % 11 else f"o{chr(97 + k)}" for p, w in enumerate(base))]) for k in range(12)]
+    far = [w if p > 2 else f"far{chr(97 + p)}" for p, w in enumerate(base)]
+    texts += [" ".join(["at", "this", "place", *far[:7], x, *far[8:9], y]) for x in "uv" for y in "st"]
+    lines = spark.createDataFrame([(t, 40 - k) for k, t in enumerate(texts)], "m string, docs long")
+    return lines.selectExpr(f"{line_dedup._HEAD} AS leaf", "xxhash64(m) AS mh", f"{line_dedup._COUNT} AS n", "docs", "m")
+
+
+def test_rounds_over_few_lines_broadcast_nothing(spark, monkeypatch):
+    """What fits one partition is joined there: no table is built in the driver for it."""
+    from replicalog.llm import graph
+
+    sent, real = [], line_dedup.F.broadcast
+    distinct = leaf_of_two_rounds(spark)
+    monkeypatch.setattr(line_dedup.F, "broadcast", lambda d: sent.append(d.columns) or real(d))
+    assert line_dedup._general(distinct).count() == distinct.count()
+    assert graph.components(spark.range(40).selectExpr("id AS a", "id + 1 AS b")).count() == 41
+    assert not sent
