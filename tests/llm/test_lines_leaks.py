@@ -465,3 +465,39 @@ def test_rounds_over_few_lines_broadcast_nothing(spark, monkeypatch):
     assert line_dedup._general(distinct).count() == distinct.count()
     assert graph.components(spark.range(40).selectExpr("id AS a", "id + 1 AS b")).count() == 41
     assert not sent
+
+
+def test_text_is_broadcast_up_to_a_bound_in_bytes(spark, monkeypatch):
+    """A few lines may be of megabytes: beyond the bound no frame with their text or their words' places is broadcast, and the result is the same."""
+    from replicalog.llm import common
+
+    distinct = leaf_of_two_rounds(spark)
+    want = {tuple(r) for r in line_dedup._general(distinct).collect()}
+    sent, real = [], line_dedup.F.broadcast
+    monkeypatch.setattr(line_dedup.F, "broadcast", lambda d: sent.append(set(d.columns)) or real(d))
+    monkeypatch.setattr(common, "PART_ROWS", 10)
+    monkeypatch.setattr(line_dedup, "FEW_BYTES", 100, raising=False)
+    for compared in (line_dedup.FEW_COMPARED, 0) if hasattr(line_dedup, "FEW_COMPARED") else (0,):
+        monkeypatch.setattr(line_dedup, "FEW_COMPARED", compared, raising=False)
+        assert {tuple(r) for r in line_dedup._general(distinct).collect()} == want
+    assert sent and not any({"mh", "m"} <= c or {"q", "first"} <= c or {"r", "c"} <= c or {"r", "g"} <= c for c in sent)
+
+
+def test_ids_of_documents_are_broadcast_beyond_the_bound_of_templates(spark, monkeypatch):
+    """Also with null ids, and with not even ids broadcast, the lines dropped are the same."""
+    draw = random.Random(59)
+    lines = [prose(draw, 14) for _ in range(6)]
+    edited = [" ".join([*x.split()[:9], "zz", *x.split()[10:]]) for x in lines]
+    rows = [(i, f"{x}\n{prose(draw, 9)}") for i, x in enumerate(lines)] + [(10 + i, x) for i, x in enumerate(edited)]
+    for more in ([], [(None, "nobody has\nthis line of some nine words or so here now"), (None, "this line of some nine words or so here then")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        want = {tuple(r) for r in line_dedup.dropped(docs).collect()}
+        assert {r[0] for r in want} >= {10 + i for i in range(6)}
+        with monkeypatch.context() as patch:
+            patch.setattr(line_dedup, "MAX_BROADCAST", 0)
+            sent, real = [], line_dedup.F.broadcast
+            patch.setattr(line_dedup.F, "broadcast", lambda d: sent.append(d.columns) or real(d))  # noqa: B023
+            assert {tuple(r) for r in line_dedup.dropped(docs).collect()} == want
+            assert (["holder"] in sent) == (not more)
+            patch.setattr(line_dedup, "MOST_IDS", 0)
+            assert {tuple(r) for r in line_dedup.dropped(docs).collect()} == want
