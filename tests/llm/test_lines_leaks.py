@@ -501,3 +501,19 @@ def test_ids_of_documents_are_broadcast_beyond_the_bound_of_templates(spark, mon
             assert (["holder"] in sent) == (not more)
             patch.setattr(line_dedup, "MOST_IDS", 0)
             assert {tuple(r) for r in line_dedup.dropped(docs).collect()} == want
+
+
+def test_the_pipelines_lost_lines_are_broadcast_by_the_size_of_their_table(spark, monkeypatch):
+    """Its stage lines sends a row for each document: many lines of few documents need no shuffle of all texts, very many are not broadcast."""
+    from replicalog.llm import stages
+
+    draw = random.Random(61)
+    text = "\n".join(prose(draw, 9) for _ in range(24))
+    docs = spark.createDataFrame([(i, text if i < 3 else prose(draw, 12), 0) for i in range(5)], "doc_id long, text string, n_chars long")
+    sent, real = [], line_dedup.F.broadcast
+    monkeypatch.setattr(line_dedup.F, "broadcast", lambda d: sent.extend(c for c in d.columns if c.endswith("_gone")) or real(d))
+    for most, few in ((10, True), (7, False)):
+        monkeypatch.setattr(line_dedup, "MAX_BROADCAST", most)
+        sent.clear()
+        assert sorted(r.doc_id for r in stages.lines(spark, docs, "").collect()) == [0, 3, 4]
+        assert bool(sent) == few
